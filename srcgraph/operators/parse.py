@@ -164,12 +164,16 @@ def parse_trees(engine: pd.Series, text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=TREE_TYPE.fieldNames())
 
 
+def status(parsed: Column) -> Column:
+    return F.when(F.col("unread"), F.lit("io_error")).otherwise(parsed).alias("parse_status")
+
+
 def parse_regex(files: DataFrame) -> DataFrame:
     """Files joined with their language row -> parsed rows."""
     special = F.when(F.col("block_mode") == "statement", F.lit(";")).otherwise(F.lit("=>"))
     read = files.withColumn("text", F.translate("text", HIT + END, "\u0003\u0003"))
     lined = read.select(
-        "file_path", "adapter", "language", "block_mode",
+        "file_path", "adapter", "language", "unread", "block_mode",
         import_strings(F.col("text"), F.col("imports")).alias("imports"),
         declarations(F.col("text"), F.col("rules"), F.col("name_junk")).alias("declared"),
         F.transform(
@@ -219,11 +223,11 @@ def parse_regex(files: DataFrame) -> DataFrame:
         d["calls"].alias("calls"), F.least(d["start"], last).alias("start"),
         F.get(F.col("layout.ends"), i).alias("end"), F.get(F.col("layout.low"), i).alias("low"),
         F.get(F.col("layout.high"), i).alias("high"), F.get(F.col("layout.keep"), i).alias("keep")))
-    sized = laid.select("file_path", "adapter", "language", "imports",
+    sized = laid.select("file_path", "adapter", "language", "unread", "imports",
                         F.size("lines").alias("line_count"),
                         F.transform(placed, measured).alias("blocks"))
     split = sized.select(
-        "file_path", "adapter", "language", "imports", "line_count",
+        "file_path", "adapter", "language", "unread", "imports", "line_count",
         F.filter("blocks", lambda b: b["keep"]).alias("tops"),
         F.filter("blocks", lambda b: b["role"].isin("member", "loose")).alias("members"))
 
@@ -250,7 +254,7 @@ def parse_regex(files: DataFrame) -> DataFrame:
         return F.when(b["role"] == "container", F.concat(F.array(own), children)).otherwise(F.array(own))
 
     return split.select(
-        "file_path", "adapter", "language", "line_count", F.lit("ok").alias("parse_status"),
+        "file_path", "adapter", "language", "line_count", status(F.lit("ok")),
         F.flatten(F.transform("tops", family)).cast(T.ArrayType(SYMBOL_TYPE)).alias("symbols"),
         "imports",
         F.array().cast(T.ArrayType(BINDING_TYPE)).alias("bindings"),
@@ -258,19 +262,20 @@ def parse_regex(files: DataFrame) -> DataFrame:
 
 
 def parse_tree_files(files: DataFrame) -> DataFrame:
-    parsed = files.select("file_path", "adapter", "language", "engine",
+    parsed = files.select("file_path", "adapter", "language", "unread", "engine",
                           import_strings(F.col("text"), F.col("imports")).alias("by_rule"),
                           parse_trees("engine", "text").alias("t"))
     return parsed.select(
-        "file_path", "adapter", "language", F.col("t.line_count").alias("line_count"),
-        F.col("t.status").alias("parse_status"), F.col("t.symbols").alias("symbols"),
+        "file_path", "adapter", "language",
+        F.when(F.col("unread"), F.lit(0)).otherwise(F.col("t.line_count")).alias("line_count"),
+        status(F.col("t.status")), F.col("t.symbols").alias("symbols"),
         F.when(F.size("by_rule") > 0, F.col("by_rule")).otherwise(F.col("t.imports")).alias("imports"),
         F.col("t.bindings").alias("bindings"), F.col("t.references").alias("references"))
 
 
 def parse_files(files: DataFrame, registry: AdapterRegistry | None = None,
                 engines: tuple[str, ...] = ("regex", "tree")) -> DataFrame:
-    """(file_path, adapter, text) -> one parsed row per file.
+    """(file_path, adapter, text) -> one parsed row per file; a null text is an unreadable file.
 
     ``engines`` leaves a branch out when the caller knows it has no such file,
     which saves its scan.
@@ -279,7 +284,7 @@ def parse_files(files: DataFrame, registry: AdapterRegistry | None = None,
     regex = [l.adapter for l in registry.languages() if l.engine == "regex"]
     tree = [l.adapter for l in registry.languages() if l.engine != "regex"]
     dim = registry.frame(files.sparkSession)
-    base = files.select("file_path", "adapter", "text")
+    base = files.select("file_path", "adapter", F.coalesce("text", F.lit("")).alias("text"), F.col("text").isNull().alias("unread"))
     branches = []
     if "regex" in engines:
         branches.append(parse_regex(base.where(F.col("adapter").isin(regex)).join(F.broadcast(dim), "adapter")))
