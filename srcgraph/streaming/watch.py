@@ -95,7 +95,7 @@ def state_changes(stream: DataFrame, state: str, key: str = "path") -> Streaming
         untouched = known.join(newest, "path", "left_anti")
         untouched.unionByName(newest).write.mode("overwrite").parquet(table)
         touched = known.join(newest, "path", "left_semi")
-        changed_paths(touched, newest).withColumn("batch", F.lit(batch_id).cast("long")).write.mode(
+        changed_paths(touched, newest).write.mode(
             "overwrite").parquet(os.path.join(state, "changes", f"batch={batch_id}"))
 
     return (stream.writeStream.trigger(availableNow=True).option("checkpointLocation", os.path.join(state, "checkpoint"))
