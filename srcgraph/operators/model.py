@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from srcgraph.functions import paths
-from srcgraph.functions.fixed import KEYWORD_ROWS
+from srcgraph.functions.fixed import DOMINANT_SHARE, KEYWORD_ROWS
 from srcgraph.functions.narrate import narration
 from srcgraph.functions.purpose import (
     dominant_kind_purpose, keyword_purpose, name_purpose, size_purpose,
@@ -37,6 +37,22 @@ def score_symbols(symbols: DataFrame) -> DataFrame:
             .withColumn("heat", heat_label(F.col("complexity"))))
 
 
+def score_aggregate(scored: DataFrame) -> DataFrame:
+    """Per file: mean, maximum and number of the scores of levels 0 and 1."""
+    return scored.where("depth <= 1").groupBy("file_path").agg(
+        (F.sum("complexity") / F.count(F.lit(1))).alias("avg_score"), F.max("complexity").alias("max_score"),
+        F.count(F.lit(1)).alias("symbol_count"))
+
+
+def dominant_kinds(symbols: DataFrame, share: float = DOMINANT_SHARE, kinds: list[str] = KINDS) -> DataFrame:
+    """(file_path, kind, total) of files where one kind makes up ``share`` of the top-level symbols."""
+    counts = symbols.where("depth = 0").groupBy("file_path").agg(F.count(F.lit(1)).alias("total"), *[
+        F.sum((F.col("kind") == k).cast("long")).alias(k) for k in kinds])
+    best = F.array_max(F.array(*[F.struct(F.col(k).alias("n"), F.lit(k).alias("kind")) for k in kinds]))
+    return counts.withColumn("best", best).where(F.col("best.n") / F.col("total") >= share).select(
+        "file_path", "best.kind", "total")
+
+
 def keyword_row(text: Column) -> Column:
     """1-based position of the first keyword row with a hit."""
     labels = F.array(*[F.lit(label) for label, _ in KEYWORD_ROWS])

@@ -164,6 +164,10 @@ def parse_trees(engine: pd.Series, text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=TREE_TYPE.fieldNames())
 
 
+# Never evaluated twice or moved into another expression by the optimizer.
+layout_blocks, parse_trees = layout_blocks.asNondeterministic(), parse_trees.asNondeterministic()
+
+
 def status(parsed: Column) -> Column:
     return F.when(F.col("unread"), F.lit("io_error")).otherwise(parsed).alias("parse_status")
 
@@ -297,9 +301,11 @@ def parse_files(files: DataFrame, registry: AdapterRegistry | None = None,
 
 
 def symbol_rows(parsed: DataFrame) -> DataFrame:
-    return parsed.select("file_path", "language", F.explode("symbols").alias("s")).select(
+    # Outer explode: for the inner one Spark adds a filter on the array's size,
+    # which would evaluate the whole parse a second time.
+    return parsed.select("file_path", "language", F.explode_outer("symbols").alias("s")).where("s IS NOT NULL").select(
         "file_path", "language", "s.*")
 
 
 def import_rows(parsed: DataFrame) -> DataFrame:
-    return parsed.select("file_path", F.posexplode("imports").alias("pos", "raw"))
+    return parsed.select("file_path", F.posexplode_outer("imports").alias("pos", "raw")).where("raw IS NOT NULL")

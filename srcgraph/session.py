@@ -17,7 +17,7 @@ def local_session(cores: str = "8", shuffle_partitions: str | None = None,
     return (
         SparkSession.builder.master(f"local[{cores}]").appName("srcgraph")
         .config("spark.driver.memory", memory)
-        .config("spark.ui.enabled", "false")
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", shuffle_partitions or cores)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
