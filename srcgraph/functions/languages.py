@@ -38,8 +38,7 @@ LANGUAGE_SCHEMA = T.StructType([
     T.StructField("rules", T.ArrayType(RULE_TYPE)),
     T.StructField("imports", T.ArrayType(IMPORT_TYPE)),
     T.StructField("branch", T.StringType()),
-    T.StructField("call", T.StringType()),
-    T.StructField("call_exclude", T.ArrayType(T.StringType())),
+    T.StructField("call", T.StringType()),     # group 1 is the called name
     T.StructField("opener", T.StringType()),
     T.StructField("closer", T.StringType()),
     T.StructField("nest_closer", T.StringType()),
@@ -77,17 +76,23 @@ class Language:
     rules: list[dict] = field(default_factory=list)
     imports: list[dict] = field(default_factory=list)
     branch: str = words("if")
-    call: str = r"(?U)\b(\w+)(?=\s*\()"
-    call_exclude: str = ""
+    name_chars: str = r"\w"       # characters of a called name
+    call_exclude: str = ""        # names that only look called
+    call_flags: str = ""
     opener: str = r"\{"
     closer: str = r"\}"
     nest_closer: str = r"\}"
     name_junk: str = ""
     block_mode: str = "brace"
 
+    @property
+    def call(self) -> str:
+        excluded = "|".join(self.call_exclude.split())
+        guard = f"(?!(?{self.call_flags}:{excluded})(?![{self.name_chars}]))" if excluded else ""
+        return rf"(?U)\b{guard}([{self.name_chars}]+)(?=\s*\()"
+
     def row(self) -> tuple:
-        values = {**self.__dict__, "skip_dirs": self.skip_dirs.split(),
-                  "call_exclude": self.call_exclude.split()}
+        values = {**self.__dict__, "skip_dirs": self.skip_dirs.split(), "call": self.call}
         return tuple(values[f.name] for f in LANGUAGE_SCHEMA.fields)
 
 
@@ -245,7 +250,7 @@ BUILTIN_LANGUAGES = [
                             "require in TRUE FALSE NULL NA NaN Inf")],
         imports=[imports(r"""\bsource\s*\(\s*['"]([^'"]+)['"]""")],
         branch=words("if else for while repeat switch"),
-        call=r"(?U)\b([\w.]+)(?=\s*\()",
+        name_chars=r"\w.",
         call_exclude="if else for while repeat break next function return switch library require "
                      "in TRUE FALSE NULL NA NaN Inf",
         name_junk="`", block_mode="inline"),
@@ -259,6 +264,7 @@ BUILTIN_LANGUAGES = [
                      "IN NOT IS NULL AS CREATE ALTER DROP TABLE VIEW FUNCTION PROCEDURE TRIGGER "
                      "INDEX PRIMARY FOREIGN KEY JOIN INNER OUTER LEFT RIGHT ON GROUP BY ORDER "
                      "HAVING LIMIT MAX MIN SUM AVG COUNT COALESCE CAST CONVERT",
+        call_flags="i",
         opener=r"(?iU)\bBEGIN\b", closer=r"(?iU)\bEND\b", nest_closer=r"(?iU)\b(?:END|COMMIT)\b",
         name_junk=r'[`"\[\]]', block_mode="statement"),
     Language("html", "HTML", ["html", "htm"], "html",

@@ -46,8 +46,8 @@ LAYOUT_TYPE = T.StructType([
     T.StructField("high", T.ArrayType(T.IntegerType())),
     T.StructField("keep", T.ArrayType(T.BooleanType()))])
 
-LINE_BREAKS = r"[\n\u000b\f\u001c-\u001e\u0085  ]"
-HIT, END = "\u0001", "\u0002"
+OTHER_BREAKS = "\u000b\f\u001c\u001d\u001e\u0085  "  # end a line as \n does
+HIT, END, BRANCH, OPEN, CLOSE = "\u0001", "\u0002", "\u0003", "\u0004", "\u0005"
 PARSED_COLUMNS = ["file_path", "adapter", "language", "line_count", "parse_status", "symbols",
                   "imports", "bindings", "references"]
 
@@ -57,9 +57,19 @@ def decode(content: Column) -> Column:
     return F.regexp_replace(F.make_valid_utf8(content.cast("string")), r"\r\n?", "\n")
 
 
+def one_break(text: Column) -> Column:
+    return F.translate(text, OTHER_BREAKS, "\n" * len(OTHER_BREAKS))
+
+
 def split_lines(text: Column) -> Column:
-    parts = F.split(text, LINE_BREAKS)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    """Lines of a text with one kind of break; a break at the very end does not start another line."""
+    body = F.when(text.endswith("\n"), F.left(text, F.length(text) - 1)).otherwise(text)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(body, "\n"))
+
+
+def count_char(line: Column, char: Column) -> Column:
+    """Occurrences of a one-byte character."""
+    return F.octet_length(line) - F.octet_length(F.replace(line, char, F.lit("")))
 
 
 def count(line: Column, pattern: Column | str) -> Column:
@@ -78,7 +88,7 @@ def running_depth(net: Column) -> Column:
 
 
 def nesting_depth(text: Column, opener: str = r"\{", closer: str = r"\}") -> Column:
-    return running_depth(F.transform(split_lines(text),
+    return running_depth(F.transform(split_lines(one_break(text)),
                                      lambda l: count(l, opener) - count(l, closer)))
 
 
@@ -86,9 +96,9 @@ def branch_count(text: Column, pattern: str) -> Column:
     return count(text, pattern)
 
 
-def called_names(text: Column, pattern: str, exclude: list[str]) -> Column:
-    names = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), 1))
-    return F.array_except(names, F.array(*[F.lit(w) for w in exclude]).cast("array<string>"))
+def called_names(text: Column, pattern: str) -> Column:
+    """Distinct called names; the pattern of a language row leaves its keywords out."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), 1))
 
 
 def import_strings(text: Column, rules: Column) -> Column:
@@ -127,7 +137,7 @@ def declarations(text: Column, rules: Column, junk: Column) -> Column:
         named = F.transform(found, lambda d: d.withField("name", clean_name(d, junk)))
         return F.filter(named, lambda d: ~F.array_contains(rule["exclude"], d["name"]))
 
-    return drop_repeated(F.flatten(F.transform(rules, hits)))
+    return F.flatten(F.transform(rules, hits))
 
 
 def clean_name(declared: Column, junk: Column) -> Column:
@@ -137,7 +147,7 @@ def clean_name(declared: Column, junk: Column) -> Column:
     return F.when(declared["kind"] == "ddl", typed).otherwise(plain)
 
 
-def drop_repeated(declared: Column) -> Column:
+def drop_repeated(declared: Column, rules: Column) -> Column:
     """Drop ``dedupe`` declarations whose name an earlier declaration has."""
     keyed = F.array_sort(F.transform(declared, lambda d, i: F.struct(d["name"].alias("name"), i.alias("at"), d.alias("d"))))
     kept = F.filter(
@@ -147,7 +157,7 @@ def drop_repeated(declared: Column) -> Column:
              & F.coalesce(F.get(keyed, i - 1)["name"] == k["name"], F.lit(False))).alias("drop"))),
         lambda k: ~k["drop"])
     cleaned = F.transform(F.array_sort(F.transform(kept, lambda k: F.struct(k["at"].alias("at"), k["d"].alias("d")))), lambda k: k["d"])
-    return F.when(F.exists(declared, lambda d: d["role"] == "dedupe"), cleaned).otherwise(declared)
+    return F.when(F.exists(rules, lambda r: r["role"] == "dedupe"), cleaned).otherwise(declared)
 
 
 @F.pandas_udf(LAYOUT_TYPE)
@@ -174,27 +184,35 @@ def status(parsed: Column) -> Column:
 
 def parse_regex(files: DataFrame) -> DataFrame:
     """Files joined with their language row -> parsed rows."""
-    special = F.when(F.col("block_mode") == "statement", F.lit(";")).otherwise(F.lit("=>"))
-    read = files.withColumn("text", F.translate("text", HIT + END, "\u0003\u0003"))
-    lined = read.select(
-        "file_path", "adapter", "language", "unread", "block_mode",
+    statement = F.col("block_mode") == "statement"
+    special = F.when(statement, F.lit(";")).otherwise(F.lit("=>"))
+    # Text-wide passes put a mark before what is counted per line afterwards.
+    branched = F.regexp_replace("text", F.col("branch"), F.lit(f"{BRANCH}$0"))
+    called = F.regexp_replace(branched, F.col("call"), F.lit(f"{HIT}$1{END}"))
+    marked = F.when(statement, F.regexp_replace(F.regexp_replace(
+        called, F.col("opener"), F.lit(f"{OPEN}$0")), F.col("nest_closer"), F.lit(f"{CLOSE}$0"))).otherwise(called)
+    opener = F.when(statement, F.lit(OPEN)).otherwise(F.lit("{"))
+    closer = F.when(statement, F.lit(CLOSE)).otherwise(F.lit("}"))
+
+    def line_facts(l):
+        pieces = F.split(l, HIT)
+        calls = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda p: F.substring_index(p, END, 1))
+        closes = count_char(l, closer)
+        return F.struct(
+            count_char(l, opener).alias("opens"),
+            # A nest closer that does not end a block, such as COMMIT, only counts for nesting.
+            F.when(statement, count(l, F.col("closer"))).otherwise(closes).alias("closes"),
+            closes.alias("nest_closes"), count_char(l, F.lit(BRANCH)).alias("branches"), l.contains(special).alias("mark"),
+            F.when(l.contains(HIT), calls).otherwise(F.array().cast("array<string>")).alias("calls"))
+
+    read = files.withColumn("text", F.translate("text", HIT + END + BRANCH + OPEN + CLOSE, "\u0006" * 5))
+    # Staged as columns of their own, or every use would run the patterns again.
+    found = read.withColumn("marked", one_break(marked)).select(
+        "file_path", "adapter", "language", "unread", "block_mode", "rules",
         import_strings(F.col("text"), F.col("imports")).alias("imports"),
         declarations(F.col("text"), F.col("rules"), F.col("name_junk")).alias("declared"),
-        F.transform(
-            split_lines(F.regexp_replace("text", F.col("call"), F.lit(HIT + "$1" + END))),
-            lambda l: F.struct(
-                count(l, F.col("opener")).alias("opens"),
-                count(l, F.col("closer")).alias("closes"),
-                F.when(F.col("closer") == F.col("nest_closer"), F.lit(0))
-                .otherwise(count(l, F.col("nest_closer")) - count(l, F.col("closer"))).alias("extra"),
-                count(F.translate(l, HIT + END, ""), F.col("branch")).alias("branches"),
-                l.contains(special).alias("mark"),
-                F.when(l.contains(HIT), F.array_except(
-                    F.regexp_extract_all(l, F.lit(f"{HIT}([^{END}]*){END}"), 1),
-                    F.when(F.col("adapter") == "sql", F.array().cast("array<string>"))
-                    .otherwise(F.col("call_exclude"))))
-                .otherwise(F.array().cast("array<string>")).alias("calls"))).alias("lines"),
-        "call_exclude")
+        F.transform(split_lines(F.col("marked")), line_facts).alias("lines"))
+    lined = found.withColumn("declared", drop_repeated(F.col("declared"), F.col("rules"))).drop("rules")
     laid = lined.select(
         "*",
         F.transform("lines", lambda l: l["opens"] - l["closes"]).alias("net"),
@@ -211,13 +229,11 @@ def parse_regex(files: DataFrame) -> DataFrame:
         size = d["end"] - d["start"] + 1
         body = F.slice(F.col("lines"), d["start"] + 1, size)
         calls = F.array_distinct(F.flatten(F.transform(body, lambda l: l["calls"])))
-        calls = F.when(F.col("adapter") == "sql", F.filter(
-            calls, lambda c: ~F.array_contains("call_exclude", F.upper(c)))).otherwise(calls)
         return F.struct(
             d["name"].alias("name"), d["role"].alias("role"), d["kind"].alias("kind"),
             d["start"].alias("start"), d["end"].alias("end"),
             d["low"].alias("low"), d["high"].alias("high"), d["keep"].alias("keep"),
-            running_depth(F.transform(body, lambda l: l["opens"] - l["closes"] - l["extra"])).alias("nesting"),
+            running_depth(F.transform(body, lambda l: l["opens"] - l["nest_closes"])).alias("nesting"),
             F.aggregate(body, F.lit(0), lambda n, l: n + l["branches"]).alias("branches"),
             F.when(d["calls"], F.array_sort(calls)).otherwise(F.array().cast("array<string>")).alias("calls"))
 

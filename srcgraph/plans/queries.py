@@ -4,6 +4,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -769,8 +770,7 @@ def branch_count(spark, folder):
     lambda c: c NOT IN ('if', 'for', 'while', 'switch', 'catch', 'function', 'class', 'return', 'typeof', 'instanceof', 'new', 'delete', 'void', 'throw'))), ',') AS calls
     FROM pages""")
 def called_names(spark, folder):
-    js = LANGUAGES["javascript"]
-    calls = parse.called_names(F.col("html"), r"([A-Za-z0-9_]+)(?=\s*\()", js.call_exclude.split())
+    calls = parse.called_names(F.col("html"), replace(LANGUAGES["javascript"], name_chars="A-Za-z0-9_").call)
     return table(spark, folder, "pages").select("page_id", F.array_join(F.array_sort(calls), ",").alias("calls"))
 
 
