@@ -6,8 +6,9 @@ integer arrays go through Arrow to find block ends.
 """
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from srcgraph.functions.languages import AdapterRegistry
 from srcgraph.functions.trees import TREE_PARSERS, block_layout
@@ -160,18 +161,17 @@ def drop_repeated(declared: Column, rules: Column) -> Column:
     return F.when(F.exists(rules, lambda r: r["role"] == "dedupe"), cleaned).otherwise(declared)
 
 
-@F.pandas_udf(LAYOUT_TYPE)
-def layout_blocks(mode: pd.Series, net: pd.Series, opens: pd.Series, marks: pd.Series,
-                  starts: pd.Series, roles: pd.Series) -> pd.DataFrame:
-    rows = [block_layout(m, *(v.tolist() for v in rest))
-            for m, *rest in zip(mode, net, opens, marks, starts, roles)]
-    return pd.DataFrame(rows, columns=LAYOUT_TYPE.fieldNames())
+@F.arrow_udf(LAYOUT_TYPE)
+def layout_blocks(mode: pa.Array, net: pa.Array, opens: pa.Array, marks: pa.Array,
+                  starts: pa.Array, roles: pa.Array) -> pa.Array:
+    columns = [c.to_pylist() for c in (mode, net, opens, marks, starts, roles)]
+    return pa.array([block_layout(*row) for row in zip(*columns)], to_arrow_type(LAYOUT_TYPE))
 
 
-@F.pandas_udf(TREE_TYPE)
-def parse_trees(engine: pd.Series, text: pd.Series) -> pd.DataFrame:
-    rows = [TREE_PARSERS[e](t) for e, t in zip(engine, text)]
-    return pd.DataFrame(rows, columns=TREE_TYPE.fieldNames())
+@F.arrow_udf(TREE_TYPE)
+def parse_trees(engine: pa.Array, text: pa.Array) -> pa.Array:
+    rows = [TREE_PARSERS[e](t) for e, t in zip(engine.to_pylist(), text.to_pylist())]
+    return pa.array(rows, to_arrow_type(TREE_TYPE))
 
 
 # Never evaluated twice or moved into another expression by the optimizer.

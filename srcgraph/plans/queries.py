@@ -18,7 +18,7 @@ from srcgraph.functions.score import file_score
 from srcgraph.operators import compare, graph, model, parse, resolve, splits, usage, views
 from srcgraph.plans import derived
 from srcgraph.plans.engine import Engine
-from srcgraph.session import shared_folder
+from srcgraph.session import shared_folder, spread_small
 from srcgraph.streaming.watch import state_changes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def texts(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    return spread_small(table(spark, folder, name).select(*columns))
+
+
 # --- shared inputs ------------------------------------------------------------
 def line_symbols(spark: SparkSession, folder: str) -> DataFrame:
     """Line items as symbols, orders as files."""
@@ -272,7 +276,7 @@ def purpose_by_name(spark, folder):
     CASE WHEN lines < 10 THEN '\U0001F4C4 Stub / Init' ELSE '\U0001F4C4 Source' END) AS purpose
     FROM (SELECT *, length(text) - length(replace(text, chr(10), '')) + 1 AS lines FROM documents)""")
 def purpose_by_text(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", F.coalesce(
+    return texts(spark, folder, "documents", "doc_id", "text").select("doc_id", F.coalesce(
         keyword_purpose(F.col("text")), size_purpose(F.regexp_count("text", F.lit("\n")) + 1)).alias("purpose"))
 
 
@@ -358,7 +362,7 @@ def dominant_kind(spark, folder):
 def word_imports(spark, folder):
     """Every word of a document as an import of that document."""
     words = F.regexp_extract_all("text", F.lit(r"([A-Za-z0-9_]+(?:[./][A-Za-z0-9_]+)*)"), 1)
-    return table(spark, folder, "documents").select(
+    return texts(spark, folder, "documents", "doc_id", "text").select(
         F.col("doc_id").alias("file_path"), F.explode_outer(words).alias("raw")).where("raw IS NOT NULL")
 
 
@@ -763,7 +767,7 @@ BRANCH_WORDS = "IF|ELSEIF|ELSIF|CASE|WHEN|WHILE|LOOP|FOR"
 def branch_count(spark, folder):
     """Words bounded by ASCII letters and digits, the one notion of a word both engines share."""
     pattern = f"(?i)(?<![A-Za-z0-9_])(?:{BRANCH_WORDS})(?![A-Za-z0-9_])"
-    return table(spark, folder, "documents").select("doc_id", parse.branch_count(F.col("text"), pattern).cast("long").alias("branches"))
+    return texts(spark, folder, "documents", "doc_id", "text").select("doc_id", parse.branch_count(F.col("text"), pattern).cast("long").alias("branches"))
 
 
 @query("called_names", r"""SELECT page_id, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(html, '([A-Za-z0-9_]+)\s*\(', 1)),
@@ -771,7 +775,7 @@ def branch_count(spark, folder):
     FROM pages""")
 def called_names(spark, folder):
     calls = parse.called_names(F.col("html"), replace(LANGUAGES["javascript"], name_chars="A-Za-z0-9_").call)
-    return table(spark, folder, "pages").select("page_id", F.array_join(F.array_sort(calls), ",").alias("calls"))
+    return texts(spark, folder, "pages", "page_id", "html").select("page_id", F.array_join(F.array_sort(calls), ",").alias("calls"))
 
 
 @query("nesting_depth", """WITH
@@ -784,7 +788,7 @@ def nesting_depth(spark, folder):
     """Deepest open tag, one tag per line, closing tags counted down but never below zero."""
     lines = F.split("html", ">")
     net = F.transform(lines, lambda l: F.when(l.contains("</"), -1).when(l.contains("<"), 1).otherwise(0))
-    return table(spark, folder, "pages").select("page_id", parse.running_depth(net).cast("long").alias("nesting"))
+    return texts(spark, folder, "pages", "page_id", "html").select("page_id", parse.running_depth(net).cast("long").alias("nesting"))
 
 
 @query("line_heat", f"""WITH {LINE_SYMBOL_SQL},
@@ -833,7 +837,7 @@ for _adapter in derived.TEMPLATES:
     SELECT '<' || name || '>' AS name, CAST(sum(len(regexp_extract_all(html, '<' || name || '[ >]'))) AS BIGINT) AS n
     FROM pages, tag GROUP BY name HAVING n > 0""")
 def parse_html(spark, folder):
-    pages = table(spark, folder, "pages").select(
+    pages = texts(spark, folder, "pages", "page_id", "html").select(
         F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".html")).alias("file_path"), F.lit("html").alias("adapter"), F.col("html").alias("text"))
     return parse.symbol_rows(parse.parse_files(pages, engines=("tree",))).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 

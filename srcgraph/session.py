@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 # Rows a frame may have to be broadcast by hand; larger ones take a shuffle join.
 BROADCAST_ROWS = 200_000
+SPLIT_BYTES = 128 << 20
 
 
 def local_session(cores: str = "8", shuffle_partitions: str | None = None,
@@ -24,6 +25,18 @@ def local_session(cores: str = "8", shuffle_partitions: str | None = None,
         .getOrCreate())
 
 
+def spread_small(frame: DataFrame) -> DataFrame:
+    """Spread a small input over the cores before work that is heavy per row.
+
+    A file with one row group is one task, however much text it holds.  Inputs
+    that fill the cores with full-sized splits anyway are left as they are.
+    """
+    spark = frame.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return frame.repartition(cores * 2) if int(str(size)) < cores * SPLIT_BYTES else frame
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder for cut lineage: ``spark.checkpoint.dir``, a temporary one in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
