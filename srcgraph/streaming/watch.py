@@ -5,11 +5,13 @@ import os
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from srcgraph.operators.compare import changed_paths
+from srcgraph.sources.log import TableLog
 from srcgraph.sources.scan import snapshot
 
 
@@ -25,39 +27,33 @@ class Watcher:
                  on_change: Callable[[DataFrame], None] | None = None,
                  list_tree: Callable[[SparkSession, str], DataFrame] = snapshot):
         self.spark, self.root, self.state = spark, root, state
-        self.on_change, self.list_tree = on_change, list_tree
+        self.on_change, self.list_tree, self.log = on_change, list_tree, TableLog(spark, state)
 
     def _path(self, name: str) -> str:
         return os.path.join(self.state, name)
 
     def last_listing(self) -> DataFrame | None:
-        try:
-            row = self.spark.read.text(self._path("current")).first()
-        except AnalysisException:
-            return None
-        return self.spark.read.parquet(self._path(row.value)) if row else None
+        names = self.log.names()
+        return self.log.read(names[-1:]) if names else None
 
-    def _remember(self, listing: DataFrame) -> DataFrame:
+    def _remember(self, listing: DataFrame) -> tuple[DataFrame, str]:
         name = f"listing-{uuid.uuid4().hex}"
         listing.write.parquet(self._path(name))
-        return self.spark.read.parquet(self._path(name)), name
-
-    def _publish(self, name: str) -> None:
-        self.spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("overwrite").text(self._path("current"))
+        return self.log.read([name]), name
 
     def step(self, tick: int = 0) -> DataFrame | None:
         """One comparison: returns the changed paths, or None if there are none or no earlier listing."""
         before = self.last_listing()
         after, name = self._remember(self.list_tree(self.spark, self.root))
         if before is None:
-            self._publish(name)
+            self.log.append("add", name)
             return None
         changes = changed_paths(before, after)
         if changes.isEmpty():
             return None
         changes.select(F.lit(tick).cast("long").alias("tick"), F.current_timestamp().alias("ts"), "path", "change").write.mode(
             "append").parquet(self._path("events"))
-        self._publish(name)
+        self.log.append("add", name)
         if self.on_change:
             try:
                 self.on_change(changes)
@@ -76,27 +72,27 @@ class Watcher:
         return self.spark.read.parquet(self._path("events"))
 
 
-def state_changes(stream: DataFrame, state: str, key: str = "path") -> StreamingQuery:
-    """Changes between successive states of a keyed stream (path, mtime, size), one batch at a time.
+def newest_state(key, batches, state):
+    """Changes of one path: its newest (mtime, size) against the one kept from earlier batches."""
+    newest = None
+    for batch in batches:
+        top = max(zip(batch["mtime"], batch["size"]))
+        newest = top if newest is None or top > newest else newest
+    found = (newest[0].value if hasattr(newest[0], "value") else int(newest[0]), int(newest[1]))
+    kind = "added" if not state.exists else "changed" if tuple(state.get) != found else None
+    state.update(found)
+    if kind:
+        yield pd.DataFrame({"path": [key[0]], "change": [kind]})
+
+
+def state_changes(stream: DataFrame, output: str) -> StreamingQuery:
+    """Append the changes of a stream of file states (path, mtime, size) to ``<output>/changes``.
 
-    Every micro-batch holds new versions of some keys.  The newest version per
-    key is compared with the stored table, and the table is replaced by a new
-    version; the changes are appended to ``<state>/changes``.
+    Spark keeps the last state of every path in its state store, so a batch
+    costs what its own rows cost, not the size of the tree.
     """
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        newest = batch.groupBy(key).agg(F.max_by(F.struct("mtime", "size"), F.struct("mtime", "size")).alias("v")).select(
-            F.col(key).alias("path"), "v.mtime", "v.size")
-        table, previous = os.path.join(state, f"state-{batch_id}"), os.path.join(state, f"state-{batch_id - 1}")
-        try:
-            known = spark.read.parquet(previous)
-        except AnalysisException:
-            known = newest.where("false")
-        untouched = known.join(newest, "path", "left_anti")
-        untouched.unionByName(newest).write.mode("overwrite").parquet(table)
-        touched = known.join(newest, "path", "left_semi")
-        changed_paths(touched, newest).write.mode(
-            "overwrite").parquet(os.path.join(state, "changes", f"batch={batch_id}"))
-
-    return (stream.writeStream.trigger(availableNow=True).option("checkpointLocation", os.path.join(state, "checkpoint"))
-            .foreachBatch(merge).start())
+    changes = stream.groupBy("path").applyInPandasWithState(
+        newest_state, "path string, change string", "mtime long, size long", "append", GroupStateTimeout.NoTimeout)
+    return (changes.writeStream.trigger(availableNow=True).outputMode("append").format("parquet")
+            .option("checkpointLocation", os.path.join(output, "checkpoint"))
+            .start(os.path.join(output, "changes")))

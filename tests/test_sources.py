@@ -125,11 +125,15 @@ def test_cache_parses_only_what_changed(spark, tmp_path):
     assert first.count() == 3 and {r.adapter: r.entries for r in cache.stats().collect()} == {"python": 2, "javascript": 1}
     # a forged entry shows that an unchanged file is not parsed again
     forged = first.where("file_path = 'a.py'").withColumn("line_count", F.lit(99)).unionByName(first.where("file_path <> 'a.py'"))
-    cache._publish(forged)
+    cache.replace(forged)
     write(root, {"b.py": "def b1(): pass\ndef b2(): pass\n", "d.py": "x = 1\n"})
     os.remove(root / "c.js")
     second = {r.file_path: (r.line_count, len(r.symbols)) for r in cache.parse(scan_sources(spark, str(root))).collect()}
     assert second == {"a.py": (99, 1), "b.py": (3, 2), "d.py": (2, 0)}
+    # the old rows of b.py and c.js are still stored until the cache is compacted
+    assert sum(r.entries for r in cache.stats().collect()) == 5
+    cache.compact(scan_sources(spark, str(root), content=False))
+    assert {r.adapter: r.entries for r in cache.stats().collect()} == {"python": 3}
     cache.invalidate("a.py")
     assert cache.stats().first().entries == 2
     cache.invalidate()
@@ -188,7 +192,7 @@ def test_state_changes_over_batches(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
         state_changes(spark.readStream.schema(schema).parquet(source), state).awaitTermination()
     rows = spark.read.parquet(os.path.join(state, "changes")).collect()
-    assert sorted((r.batch, r.path, r.change) for r in rows) == [(0, "a", "added"), (0, "b", "added"), (1, "b", "changed"), (1, "c", "added")]
+    assert sorted((r.path, r.change) for r in rows) == [("a", "added"), ("b", "added"), ("b", "changed"), ("c", "added")]
 
 
 def test_command_line(spark, tree, capsys, monkeypatch):
