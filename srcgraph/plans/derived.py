@@ -156,4 +156,5 @@ def symbols_sql(adapter: str) -> str:
       UNION ALL
       SELECT file_path, 'Box', 'class', any_value(n_items) + 1, max(line_end) + 1, max(d) + 2, sum(d), 0
       FROM item GROUP BY file_path"""
-    return f"WITH item AS ({item_sql(adapter)}) {rows}"
+    numbers = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in ("line_start", "line_end", "nesting_depth", "branch_count", "n_calls"))
+    return f"WITH item AS ({item_sql(adapter)}) SELECT file_path, name, kind, {numbers} FROM ({rows})"

@@ -181,7 +181,7 @@ def described_documents(spark, folder):
     SELECT file_path, line_count, symbol_count, round(complexity, 6) AS complexity, {heat_sql("complexity")} AS heat FROM filed""")
 def file_scores_without_symbols(spark, folder):
     return described_documents(spark, folder).select(
-        "file_path", "line_count", "symbol_count", F.round("complexity", 6).alias("complexity"), "heat")
+        "file_path", F.col("line_count").cast("long").alias("line_count"), "symbol_count", F.round("complexity", 6).alias("complexity"), "heat")
 
 
 @query("metadata", f"""WITH {DOCUMENT_FILE_SQL}
@@ -746,14 +746,14 @@ TURN_SQL = """
     UNION ALL SELECT conv_id, turn, pos, 'add', now FROM pair WHERE now IS NOT NULL AND was IS DISTINCT FROM now""")
 def line_diff(spark, folder):
     old, new = turns(spark, folder)
-    return compare.line_diff(old, new, ["conv_id", "turn"])
+    return compare.line_diff(old, new, ["conv_id", "turn"]).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query("line_marks", f"""WITH {TURN_SQL}
     SELECT conv_id, turn, pos, CASE WHEN was IS NULL THEN 'added' ELSE 'modified' END AS mark FROM pair WHERE now IS NOT NULL AND was IS DISTINCT FROM now""")
 def line_marks(spark, folder):
     old, new = turns(spark, folder)
-    return compare.line_marks(old, new, ["conv_id", "turn"])
+    return compare.line_marks(old, new, ["conv_id", "turn"]).withColumn("pos", F.col("pos").cast("long"))
 
 
 # --- text measures ------------------------------------------------------------
