@@ -319,8 +319,8 @@ def parse_files(files: DataFrame, registry: AdapterRegistry | None = None,
 def symbol_rows(parsed: DataFrame) -> DataFrame:
     # Outer explode: for the inner one Spark adds a filter on the array's size,
     # which would evaluate the whole parse a second time.
-    return parsed.select("file_path", "language", F.explode_outer("symbols").alias("s")).where("s IS NOT NULL").select(
-        "file_path", "language", "s.*")
+    return parsed.select("file_path", "adapter", "language", F.explode_outer("symbols").alias("s")).where(
+        "s IS NOT NULL").select("file_path", "adapter", "language", "s.*")
 
 
 def import_rows(parsed: DataFrame) -> DataFrame:

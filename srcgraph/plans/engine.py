@@ -75,7 +75,7 @@ class CodeModel:
 
     @cached_property
     def hotspots(self) -> DataFrame:
-        scored = self.symbols.join(self.files.select("file_path", "file_ord"), "file_path")
+        scored = self.symbols.withColumn("file_ord", model.file_order(F.col("adapter"), F.col("file_path")))
         return model.hotspots(scored, self.top_n, ["file_ord", "top_ord", "sub_ord"]).select(
             "rank", "file_path", F.col("name").alias("symbol"), "kind", "language", "complexity",
             "heat", "line_start", "line_end", "line_count")
