@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from srcgraph.llm import quality
+from srcgraph.llm import minhash, quality
 from srcgraph.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +21,8 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 def op2_quality(spark, folder):
     docs = table(spark, folder, "documents")
     return quality.quality(docs, quality.fit(docs, table(spark, folder, "labels")))
+
+
+@query
+def op10_near_duplicates(spark, folder):
+    return minhash.near_duplicates(table(spark, folder, "documents"))
