@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from srcgraph.llm import minhash, quality
+from srcgraph.llm import lengths, minhash, packing, quality
 from srcgraph.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,13 @@ def op2_quality(spark, folder):
 @query
 def op10_near_duplicates(spark, folder):
     return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op8_packing(spark, folder):
+    return packing.best_fit(table(spark, folder, "documents"))
+
+
+@query
+def op5_token_counts(spark, folder):
+    return lengths.limits(lengths.histogram(lengths.lengths(table(spark, folder, "documents"))))
