@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from srcgraph.llm import lengths, minhash, packing, quality
+from srcgraph.llm import decontaminate, lengths, minhash, packing, quality
 from srcgraph.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,8 @@ def op8_packing(spark, folder):
 @query
 def op5_token_counts(spark, folder):
     return lengths.limits(lengths.histogram(lengths.lengths(table(spark, folder, "documents"))))
+
+
+@query
+def op6_decontamination(spark, folder):
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
