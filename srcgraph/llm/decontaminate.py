@@ -27,33 +27,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from srcgraph.llm.tables import map_arrow
-from srcgraph.llm.words import BASE, STEP, TABLE, Texts, U, mix, slices, span_sums, windows
+from srcgraph.llm.words import STEP, Runs, Texts, U, hashes_of, mix, slices, windows
 
 SHINGLE = 5
 RADIUS = 20
 SIMILARITY = 0.8
 MAX_ITEM_BYTES = 16 << 20
 SCHEMA = "doc_id long, item_id long, start_word long, n_words long, hamming int, similarity double"
-PART = np.zeros(256, bool)
-PART[list(range(48, 58)) + list(range(97, 123)) + list(range(128, 256))] = True
 TOKEN = re.compile(r"[0-9a-z\u0080-\U0010ffff]+")
 
 
-class Runs(Texts):
-    """Texts whose words are runs of lower-case letters and digits."""
-
-    def __init__(self, data, bounds):
-        # anything else becomes a blank; digits and letters stay as they are
-        super().__init__(np.where(PART[data], data, np.uint8(32)), bounds)
-
-
-def hashes_of(words: list[bytes]) -> np.ndarray:
-    data = np.frombuffer(b"".join(words), np.uint8)
-    ends = np.cumsum([len(w) for w in words])
-    starts = ends - [len(w) for w in words]
-    return mix(span_sums(TABLE[data], BASE, starts, ends) + (ends - starts).astype(U) * U(0xA0761D6478BD642F))
-
-
 class Items:
     """Benchmark items ready for look-up."""
 

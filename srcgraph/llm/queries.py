@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from srcgraph.llm import decontaminate, lengths, minhash, packing, quality, warc
+from srcgraph.llm import decontaminate, langid, lengths, minhash, packing, quality, toxicity, warc
 from srcgraph.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,15 @@ def op6_decontamination(spark, folder):
 def op9_warc(spark, folder):
     return warc.round_trip(table(spark, folder, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op7_language(spark, folder):
+    docs = table(spark, folder, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
+@query
+def op4_toxicity(spark, folder):
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")))

@@ -98,12 +98,31 @@ class Texts:
         return starts, ends, np.searchsorted(starts, self.bounds)
 
 
+PART = np.zeros(256, bool)
+PART[list(range(48, 58)) + list(range(97, 123)) + list(range(128, 256))] = True
+
+
+class Runs(Texts):
+    """Texts whose words are runs of digits, lower-case letters and characters beyond ASCII."""
+
+    def __init__(self, data: np.ndarray, bounds: np.ndarray):
+        super().__init__(np.where(PART[data], data, np.uint8(32)), bounds)
+
+
 def prefix(flags: np.ndarray) -> np.ndarray:
     out = np.zeros(len(flags) + 1, np.int64)
     np.cumsum(flags, out=out[1:])
     return out
 
 
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    """The hashes that ``word_hashes`` gives these words."""
+    data = np.frombuffer(b"".join(words), np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    starts = ends - [len(w) for w in words]
+    return mix(span_sums(TABLE[data], BASE, starts, ends) + (ends - starts).astype(U) * U(0xA0761D6478BD642F))
+
+
 def owner(first: np.ndarray) -> np.ndarray:
     """Text number of each item, from the first item of each text."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -118,8 +137,8 @@ def windows(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     return at, mix(span_sums(hashes, STEP, at, at + k) + U(k))
 
 
-def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, Texts]]:
-    """Row ranges of a string column with their texts, a bounded number of bytes at a time."""
+def slices(column: pa.Array, limit: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[tuple[int, int, Texts]]:
+    """Row ranges of a string column with their texts, a bounded number of bytes and rows at a time."""
     column = pc.fill_null(column, "")
     wide = pa.types.is_large_string(column.type)
     raw = column.buffers()
@@ -129,6 +148,6 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
     begin = 0
     while begin < len(column):
         end = max(begin + 1, int(np.searchsorted(bounds, bounds[begin] + limit, "right")) - 1)
-        end = min(end, len(column))
+        end = min(end, len(column), begin + rows)
         yield begin, end, Texts(data[bounds[begin]:bounds[end]], bounds[begin:end + 1] - bounds[begin])
         begin = end
