@@ -7,10 +7,10 @@ insults and what is learned: words whose document frequency is much higher
 among toxic documents.
 
 Everything is learned on at most ``PER_CLASS`` labelled documents of each class
-that are not held out, chosen by a hash and split by another hash into three
-parts: for the lexicon, the trees and the calibration, so that none judges what
-it has learned from.  The calibration weighs the classes as they occur among
-all labelled rows.  Only the text is an input of a score.  Null and empty texts
+that are not held out, chosen by a hash and split by another hash into a part
+for the lexicon and a part for the trees.  The calibration learns from scores
+that trees of other folds gave, so nothing judges what it has learned from, and
+weighs the classes as they occur among all labelled rows.  Only the text is an input of a score.  Null and empty texts
 get the score of a text without words.  Without both classes every score is
 the share of toxic labels (0 if there are none).
 """
@@ -30,7 +30,7 @@ PER_CLASS = 4000
 LEXICON = 256
 NEAR = 5
 THRESHOLD = 0.3
-DEPTH, TREES, RATE, LEAF = 3, 80, 0.15, 20
+DEPTH, TREES, RATE, LEAF, FOLDS = 3, 60, 0.15, 20, 3
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 # fixed values: second-person words, and what digits and signs stand for
 SECOND_PERSON = ["you", "your", "yours", "yourself", "u", "ur", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "sie",
@@ -123,6 +123,7 @@ def boosted(x: np.ndarray, y: np.ndarray) -> dict:
     binned = np.stack([np.searchsorted(e, c, "left") for e, c in zip(edges, x.T)], axis=1)
     base = math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
     margin = np.full(len(y), base)
+    leaf = min(LEAF, max(3, len(y) // 60))
     trees = []
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-margin))
@@ -138,7 +139,7 @@ def boosted(x: np.ndarray, y: np.ndarray) -> dict:
                 g, h, c = (np.bincount(cell, v, width * 33).reshape(width, 33).cumsum(axis=1) for v in (slope, curve, np.ones(len(y))))
                 gr, hr, cr = g[:, -1:] - g, h[:, -1:] - h, c[:, -1:] - c
                 gain = g ** 2 / (h + 1) + gr ** 2 / (hr + 1) - g[:, -1:] ** 2 / (h[:, -1:] + 1)
-                gain[(c < LEAF) | (cr < LEAF)] = -1
+                gain[(c < leaf) | (cr < leaf)] = -1
                 gain[:, len(e):] = -1
                 at = gain.argmax(axis=1)
                 top = gain[np.arange(width), at]
@@ -207,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict:
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "toxic")
     total = {int(r[0] > 0): r[1] for r in known.groupBy("toxic").count().collect()}
     chosen = labelled_sample(known, "toxic", per_class)
-    # a tenth is a hash digit: 0-3 lexicon, 4-7 trees, 8-9 calibration
+    # a tenth is a hash digit: 0-3 lexicon, 4-9 trees and calibration
     tenth = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("part")), F.lit(10)).cast("int")
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic", tenth.alias("tenth"))
     first = sample.where("tenth < 4")
@@ -225,15 +226,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict:
                                    pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "toxic", "tenth", "x"])
 
     got = sorted(map_arrow(sample.where("tenth >= 4"), rows, "doc_id long, toxic int, tenth int, x array<double>").collect())
-    train, check = [r for r in got if r.tenth < 8], [r for r in got if r.tenth >= 8]
-    if len({r.toxic > 0 for r in train}) < 2:
+    y = np.array([float(r.toxic > 0) for r in got])
+    if len(set(y.tolist())) < 2:
         return model
-    model["trees"] = boosted(np.array([r.x for r in train]), np.array([float(r.toxic > 0) for r in train]))
-    if len({r.toxic > 0 for r in check}) < 2:
-        check = train
-    y = np.array([float(r.toxic > 0) for r in check])
-    each = {k: total.get(k, 0) / max(1, (y == k).sum()) for k in (0, 1)}
-    model["knots"], model["values"] = isotonic(margins(np.array([r.x for r in check]), model["trees"]), y, np.where(y > 0, each[1], each[0]))
+    x, part = np.array([r.x for r in got]), np.array([r.tenth % FOLDS for r in got])
+    model["trees"] = boosted(x, y)
+    apart = np.empty(len(y))
+    for k in range(FOLDS):
+        apart[part == k] = margins(x[part == k], boosted(x[part != k], y[part != k]))
+    each = [total.get(k, 0) / max(1, (y == k).sum()) for k in (0, 1)]
+    model["knots"], model["values"] = isotonic(apart, y, np.where(y > 0, each[1], each[0]))
     return model
 
 
