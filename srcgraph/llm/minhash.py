@@ -160,12 +160,15 @@ def star_edges(classes: DataFrame, buckets: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, shingles) with the whole sorted set, of the documents named in ``ids``."""
+    """(doc_id, shingles) with the whole sorted set, of the documents named in ``ids``.
+
+    The joins on whole sets are sort-merge joins at every size: their small side grows with the data.
+    """
     def build(batch):
         for a, b, texts in slices(batch.column(1)):
             yield pa.record_batch([batch.column(0).slice(a, b - a).cast(pa.int64()),
                                    pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], ["doc_id", "shingles"])
-    return map_arrow(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), build, "doc_id long, shingles binary")
+    return map_arrow(docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi"), build, "doc_id long, shingles binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -180,8 +183,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
             both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
             keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
         yield pa.record_batch([a, b], ["a", "b"]).filter(pa.array(keep))
-    joined = (pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-              .join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a"))
+    joined = (pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")).hint("merge"), "b")
+              .join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")).hint("merge"), "a"))
     return map_arrow(joined.select("a", "b", "sa", "sb"), check, "a long, b long")
 
 
