@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from srcgraph.llm import minhash, quality
+from srcgraph.llm import decontaminate, minhash, packing, phrases, quality
 from srcgraph.llm.tables import shared_folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -24,7 +24,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
 
 
-STAGES = [("quality rules", quality_rules), ("near duplicates", near_duplicates)]
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document holds are cut out; a document of which nothing is left goes."""
+    cleaned = phrases.removed(docs).where("n_removed < n_words OR n_words = 0")
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    found = cleaned.select("doc_id", text.alias("text"))
+    return docs.drop("text", "n_chars").join(found, "doc_id").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    bad = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id")
+    return docs.join(bad, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's pieces with their place in a training sequence."""
+    return packing.best_fit(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules), ("near duplicates", near_duplicates), ("repeated passages", repeated_passages),
+    ("benchmark decontamination", benchmark_free), ("packing", packed_sequences),
+]
 ORACLE_SQL = None  # the line model of the first stage has no SQL form; tests compare with brute force
 
 

@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from srcgraph.llm import decontaminate, langid, lengths, minhash, packing, quality, toxicity, warc
+from srcgraph.llm import decontaminate, langid, lengths, minhash, packing, phrases, quality, suffixes, toxicity, warc
 from srcgraph.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,13 @@ def op7_language(spark, folder):
 def op4_toxicity(spark, folder):
     docs = table(spark, folder, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+
+
+@query
+def op1_phrases(spark, folder):
+    return phrases.digest(phrases.removed(table(spark, folder, "documents")))
+
+
+@query
+def op3_suffixes(spark, folder):
+    return suffixes.digest(suffixes.removed(table(spark, folder, "documents")))
