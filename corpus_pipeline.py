@@ -20,16 +20,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    gone = minhash.near_duplicates(docs).where("NOT kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document holds are cut out; a document of which nothing is left goes."""
-    cleaned = phrases.removed(docs).where("n_removed < n_words OR n_words = 0")
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    found = cleaned.select("doc_id", text.alias("text"))
-    return docs.drop("text", "n_chars").join(found, "doc_id").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    cleaned = phrases.removed(docs.select(*COLUMNS)).where("n_removed < n_words OR n_words = 0")
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row.text"))
+    length = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("row.n_chars"))
+    return cleaned.select("row.doc_id", text.alias("text"), "row.lang", "row.source", length.alias("n_chars"))
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,8 @@ component against all, and only links leave a task.  No pair is capped or
 dropped.
 
 Null, empty and blank texts have no shingles: they are linked with nothing and
-kept.  Rows with the same doc_id must not occur; other columns are ignored.
+kept, and so are rows without doc_id, whose component is null.  Rows that
+repeat a doc_id get the same component; other columns are ignored.
 """
 from __future__ import annotations
 
@@ -267,7 +268,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     buckets = parts(spark)
     sketch, _ = cut(sketches(docs))
-    some = sketch.where("n_shingles > 0")
+    some = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = some.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     reps, _ = cut(reps)
     classes = some.select(F.col("doc_id").alias("rep"), "bands").join(reps.select("rep"), "rep")
@@ -287,5 +288,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         labels, _ = cut(components(links))
     out = sketch.join(reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
                       .select("k1", "k2", F.coalesce("component", "rep").alias("component_id")), ["k1", "k2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))

@@ -19,6 +19,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from srcgraph.llm.repeats import repeated
 from srcgraph.llm.tables import cut, map_arrow
@@ -27,7 +28,6 @@ from srcgraph.llm.words import Texts
 WINDOW, GRAM = 13, 5
 # Characters of patterns in one automaton; a single document may need more.
 SHARD_CHARS = 600_000
-SCHEMA = "doc_id long, text string, kept string, n_words long, n_removed long, n_passages long"
 
 
 def word_items(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -95,47 +95,51 @@ class Shard:
 
 
 def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, text, kept, n_words, n_removed, n_passages): each document and what is left of it, words joined by blanks."""
+    """(row, kept, n_words, n_removed, n_passages): each whole row of ``docs`` and the words left of its text, joined by blanks."""
     runs = repeated(docs, word_items, gram, window, sources=True)
     places, _ = cut(exploded(runs, window))
     texts, _ = cut(passages(docs, places))
     lists = places.join(texts.hint("merge"), ["source", "start", "n_words"]).groupBy("doc_id").agg(
         F.collect_list(F.struct("source", "n_words", "passage")).alias("passages"))
+    counts = ["n_words", "n_removed", "n_passages"]
+    schema = StructType([StructField("row", docs.schema), StructField("kept", StringType()), *[StructField(c, LongType()) for c in counts]])
 
     def stream(batches):
         held, size = [], 0
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            kind = batch.column(0).type
+            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held.append(row)
-                size += sum(len(p["passage"]) for p in row[2] or ())
+                size += sum(len(p["passage"]) for p in row[1] or ())
                 if size >= SHARD_CHARS or len(held) >= 4000:
-                    yield finish(held)
+                    yield finish(held, kind)
                     held, size = [], 0
         if held:
-            yield finish(held)
+            yield finish(held, kind)
 
-    def finish(held):
+    def finish(held, kind):
         patterns: dict[str, tuple[int, int]] = {}
-        for _, _, found in held:
+        for _, found in held:
             for p in found or ():
                 old = patterns.get(p["passage"])
                 if old is None or p["source"] < old[0]:
                     patterns[p["passage"]] = (p["source"], p["n_words"])
         shard = Shard(patterns)
-        rows = []
-        for doc, text, _ in held:
-            words = (text or "").encode().split()
-            gone, found = shard.locate(doc, words)
-            kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g]) if found else b" ".join(words)
-            rows.append((doc, text, kept.decode(), len(words), int(gone.sum()), found))
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)],
-                               ["doc_id", "text", "kept", "n_words", "n_removed", "n_passages"])
+        kept, numbers = [], []
+        for row, _ in held:
+            words = (row["text"] or "").encode().split()
+            gone, found = shard.locate(row["doc_id"], words)
+            left = [w for w, g in zip(words, gone.tolist()) if not g] if found else words
+            kept.append(b" ".join(left).decode())
+            numbers.append((len(words), len(words) - len(left), found))
+        return pa.record_batch([pa.array([r for r, _ in held], kind), pa.array(kept, pa.string()),
+                                *[pa.array(list(c), pa.int64()) for c in zip(*numbers)]], ["row", "kept", *counts])
 
-    joined = docs.select("doc_id", "text").join(lists.hint("merge"), "doc_id", "left")
-    return joined.select("doc_id", "text", "passages").mapInArrow(stream, SCHEMA)
+    rows = docs.select(F.col("doc_id").alias("_doc"), F.struct(*docs.columns).alias("row"))
+    joined = rows.join(lists.withColumnRenamed("doc_id", "_doc").hint("merge"), "_doc", "left")
+    return joined.select("row", "passages").mapInArrow(stream, schema)
 
 
 def digest(cleaned: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, n_passages)."""
-    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), "n_passages")
+    return cleaned.select("row.doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), "n_passages")

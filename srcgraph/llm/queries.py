@@ -63,9 +63,26 @@ def op4_toxicity(spark, folder):
 
 @query
 def op1_phrases(spark, folder):
-    return phrases.digest(phrases.removed(table(spark, folder, "documents")))
+    return phrases.digest(phrases.removed(table(spark, folder, "documents").select("doc_id", "text")))
 
 
 @query
 def op3_suffixes(spark, folder):
     return suffixes.digest(suffixes.removed(table(spark, folder, "documents")))
+
+
+def base32_sql(hexadecimal: str) -> str:
+    """Base32 of 40 hexadecimal digits: five digits are four letters."""
+    letters = []
+    for i in range(0, 40, 5):
+        value = f"('0x' || substr({hexadecimal}, {i + 1}, 5))::INTEGER"
+        letters += [f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({value} >> {bits}) & 31) + 1, 1)" for bits in (15, 10, 5, 0)]
+    return " || ".join(letters)
+
+
+ORACLES["op9_warc"] = f"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
+    q AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS first FROM p)
+    SELECT page_id, strlen(body) AS payload_bytes, {base32_sql('hex')} AS payload_digest,
+           CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to FROM q"""

@@ -37,10 +37,16 @@ def held_out(doc_id) -> "F.Column":
 def labelled_sample(labels: DataFrame, label: str, per_class: int) -> DataFrame:
     """At most ``per_class`` labelled ids of each class, those with the least hashes.
 
-    Spark cuts each partition to that many rows before the shuffle, so the work
-    and the result are bounded whatever the size of the table.
+    Classes are counted first; of a large class only the ids below a hash bound
+    that leaves about four times as many go on, so what is sorted is bounded
+    whatever the size of the table.
     """
-    order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
-    return (labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", label)
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", label)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    bound = F.lit(1 << 30)
+    for r in known.groupBy(label).count().where(F.col("count") > 4 * per_class).collect():
+        bound = F.when(F.col(label) == F.lit(r[0]), F.lit((1 << 30) * 4 * per_class // r[1])).otherwise(bound)
+    order = Window.partitionBy(label).orderBy("_place", "doc_id")
+    return (known.withColumn("_place", place).where(F.col("_place") < bound)
             .withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_class)
             .groupBy("doc_id").agg(F.max(label).alias(label)))
