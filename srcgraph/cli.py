@@ -3,22 +3,29 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from srcgraph.plans import payloads
 from srcgraph.plans.engine import CodeModel, Engine
 from srcgraph.session import local_session
 
 
+def print_rows(frame: DataFrame) -> None:
+    """All rows, one line each, a partition at a time."""
+    print(" | ".join(frame.columns))
+    for row in frame.toLocalIterator():
+        print(" | ".join("" if v is None else str(v) for v in row))
+
+
 def report(model: CodeModel) -> None:
     """Overview, modules, hotspots and purposes as text."""
     model.metadata.show(truncate=False, vertical=True)
-    model.modules.orderBy("module", "adapter").show(50, truncate=False)
+    print_rows(model.modules.orderBy("module", "adapter"))
     model.hotspots.orderBy("rank").select(
         "rank", "file_path", "symbol", "kind", "language", F.format_number("complexity", 0).alias("score"),
         "heat", "line_count").show(model.top_n, truncate=False)
-    model.files.where("purpose IS NOT NULL").orderBy(F.desc("complexity"), "file_ord").select(
-        "file_path", "purpose", F.format_number("complexity", 0).alias("score"), "heat").show(50, truncate=False)
+    print_rows(model.files.where("purpose IS NOT NULL").orderBy(F.desc("complexity"), "file_ord").select(
+        "file_path", "purpose", F.format_number("complexity", 0).alias("score"), "heat"))
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -48,7 +55,7 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.getActiveSession() or local_session("*", "8")
     engine = Engine(spark)
     if args.command == "list-adapters":
-        engine.list_adapters().orderBy("adapter").show(truncate=False)
+        print_rows(engine.list_adapters().orderBy("adapter"))
     elif args.command == "diff":
         print("\n".join(payloads.diff_lines(engine.diff_revision(args.path, args.ref, args.lang))))
     elif args.command == "analyze":

@@ -95,22 +95,19 @@ PART_EDGE_SQL = """
         WHERE dst IS NOT NULL AND src <> dst)"""
 
 
-def customer_edges(spark: SparkSession, folder: str, priority: str | None = None) -> DataFrame:
+def customer_edges(spark: SparkSession, folder: str) -> DataFrame:
     """Customer -> customer of the next order of the same day."""
     orders = table(spark, folder, "orders")
-    if priority:
-        orders = orders.where(F.col("o_orderpriority") == priority)
     order = Window.partitionBy("o_orderdate").orderBy("o_orderkey")
     return orders.select(F.col("o_custkey").alias("src"), F.lead("o_custkey").over(order).alias("dst")).where(
         "dst IS NOT NULL AND src <> dst").distinct()
 
 
-def customer_edge_sql(priority: str | None = None) -> str:
-    where = f"WHERE o_orderpriority = '{priority}'" if priority else ""
+def customer_edge_sql() -> str:
     return f"""
     edge AS (SELECT DISTINCT src, dst FROM (
         SELECT o_custkey AS src, lead(o_custkey) OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) AS dst
-        FROM orders {where}) WHERE dst IS NOT NULL AND src <> dst)"""
+        FROM orders) WHERE dst IS NOT NULL AND src <> dst)"""
 
 
 # --- scores -------------------------------------------------------------------
@@ -381,6 +378,30 @@ def import_domains(spark, folder):
         F.count(F.lit(1)).alias("n")).groupBy("domain").agg(F.sum("n").alias("n_imports"), F.count(F.lit(1)).alias("n_words"))
 
 
+KEY_FORMS = ["", ".part", "/part", ":part", "\\part", "part", " \t"]  # "part" glued on is no prefix, unless of another key
+KEY_LIST = [k for k, _ in domain_rows()]
+FORM_SQL = ", ".join(f"({i}, '{t}')" for i, t in enumerate(KEY_FORMS))
+
+
+@query("domain_keys", f"""WITH {DOMAIN_SQL},
+    keys AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS i FROM domain),
+    form(i, tail) AS (VALUES {FORM_SQL}),
+    import AS (SELECT upper(k.key) || f.tail AS raw FROM lineitem JOIN keys k ON k.i = l_partkey % {len(KEY_LIST)}
+               JOIN form f ON f.i = (l_orderkey + l_linenumber) % {len(KEY_FORMS)}),
+    trimmed AS (SELECT DISTINCT raw, lower(trim(raw, ' ' || chr(9))) AS t FROM import),
+    best AS (SELECT raw, max_by(domain, length(key)) AS domain FROM trimmed JOIN domain ON t = key OR starts_with(t, key || '.')
+             OR starts_with(t, key || '/') OR starts_with(t, key || ':') OR starts_with(t, key || chr(92)) GROUP BY raw)
+    SELECT raw, domain, count(*) AS n FROM import JOIN best USING (raw) GROUP BY raw, domain""")
+def domain_keys(spark, folder):
+    """Every domain key, alone, with each separator, with letters glued on, and inside white space."""
+    keys, forms = (F.array(*[F.lit(x) for x in xs]) for xs in (KEY_LIST, KEY_FORMS))
+    lines = table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("file_path"),
+        F.concat(F.upper(F.get(keys, (F.col("l_partkey") % len(KEY_LIST)).cast("int"))),
+                 F.get(forms, ((F.col("l_orderkey") + F.col("l_linenumber")) % len(KEY_FORMS)).cast("int"))).alias("raw"))
+    return resolve.classify_imports(lines, domain_table(spark)).groupBy("raw", "domain").agg(F.count(F.lit(1)).alias("n"))
+
+
 EVENT_ROOTS = {"view": "react.dom.view", "signup": "bcrypt.hash", "click": "requests.adapters", "error": "logging.handlers", "purchase": "django.db.models"}
 EVENT_DOMAINS = {"view": "ui", "signup": "auth", "click": "network", "error": "logging", "purchase": "database"}
 
@@ -495,14 +516,19 @@ def blast_radius(spark, folder):
     return graph.blast_radius(part_edges(spark, folder))
 
 
-@query("dead_files", f"""WITH {customer_edge_sql("1-URGENT")}
-    SELECT c_custkey AS file_path FROM customer WHERE c_custkey NOT IN (SELECT src FROM edge) AND c_custkey NOT IN (SELECT dst FROM edge)
-    AND NOT coalesce(contains(lower({case_sql("lower(c_mktsegment || '/' || c_name)", FILE_NAME_ROWS)}), 'test'), false)
-    AND coalesce({case_sql("lower(c_mktsegment || '/' || c_name)", FILE_NAME_ROWS)}, '') <> '\U0001F680 Entry Point'""")
+DEAD_LABEL_SQL = case_sql("lower(p_brand || '/' || p_name)", FILE_NAME_ROWS)
+
+
+@query("dead_files", f"""WITH {PART_EDGE_SQL},
+    tied AS (SELECT e.src AS node FROM edge e JOIN edge f ON f.src = e.dst AND f.dst = e.src)
+    SELECT p_partkey AS file_path FROM part WHERE p_partkey NOT IN (SELECT node FROM tied)
+    AND NOT coalesce(contains(lower({DEAD_LABEL_SQL}), 'test'), false) AND coalesce({DEAD_LABEL_SQL}, '') <> '\U0001F680 Entry Point'""")
 def dead_files(spark, folder):
-    files = table(spark, folder, "customer").where(
-        ~exempt_from_dead(name_purpose(F.col("c_mktsegment"), F.col("c_name")))).select(F.col("c_custkey").alias("file_path"))
-    return graph.isolated(files, customer_edges(spark, folder, "1-URGENT"))
+    """Parts that depend on no part which depends on them too, over all line items."""
+    files = table(spark, folder, "part").where(
+        ~exempt_from_dead(name_purpose(F.col("p_brand"), F.col("p_name")))).select(F.col("p_partkey").alias("file_path"))
+    pairs = graph.mutual_pairs(part_edges(spark, folder)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return graph.isolated(files, pairs)
 
 
 def first_customer(spark, folder):
