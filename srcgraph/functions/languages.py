@@ -98,12 +98,13 @@ class Language:
 
 # --- fixed values: vocabularies and text patterns per language ---------------
 # A run of type tokens before a name.  Possessive, and a token may not stand
-# right before "(", so matching is linear and the name is never swallowed.
-def typed(chars: str, least: str) -> str:
-    return rf"(?:[{chars}]++\s++(?!\()){least}+"
+# right before "(", so matching is linear and the name is never swallowed.  The
+# bound on tokens keeps the matcher's stack small on generated lines.
+def typed(chars: str, least: int) -> str:
+    return rf"(?:[{chars}]++\s++(?!\()){{{least},16}}+"
 
 
-C_QUALIFIERS = r"(?:\s*(?:const|noexcept|override|final))*+\s*+(?::\s*[^{]*)?\s*\{"
+C_QUALIFIERS = r"(?:\s*+(?:const|noexcept|override|final)){0,8}+\s*+(?::[^{]*+)?\{"
 BUILTIN_LANGUAGES = [
     Language("python", "Python", ["py"], "python",
              "__pycache__ venv env node_modules dist build", EGG_INFO_SUFFIX),
@@ -113,18 +114,19 @@ BUILTIN_LANGUAGES = [
         skip_suffix=EGG_INFO_SUFFIX,
         rules=[
             rule(r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+(\w+)\s*[(<]"),
-            rule(r"^[ \t]*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*[:=][^=].*?"
-                 r"(?:async\s+)?\(?[^)]*\)?\s*(?::\s*\S+\s*)?=>", role="dedupe"),
+            # an arrow on the line of the name, or after parameters that a line ending in ( or , begins
+            rule(r"^[ \t]*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*[:=][^=]"
+                 r"(?:.*?=>|.*(?<=[(,])\n[^)]*+\)\s*+(?::\s*+\S+?\s*+)?=>)", role="dedupe"),
             rule(r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)",
                  kind="class", calls=False, role="container"),
-            rule(r"^[ \t]+(?:(?:public|private|protected|static|async|override|readonly)\s+)*"
+            rule(r"^[ \t]+(?:(?:public|private|protected|static|async|override|readonly)\s+){0,12}"
                  r"(\w+)\s*\([^)]*\)\s*(?::\s*\S+\s*)?\{", kind="method", role="member",
                  exclude="constructor super return if for while"),
         ],
         imports=[
-            imports(r"""\bimport\s+(?:[^'";]*?\s+from\s+)?['"]([^'"]+)['"]""", drop="^node:"),
+            imports(r"""\bimport\s++(?:[^'";]*?\sfrom\s++)?['"]([^'"]+)['"]""", drop="^node:"),
             imports(r"""(?:\brequire|\bimport)\s*\(\s*['"]([^'"]+)['"]\s*\)""", drop="^node:"),
-            imports(r"""\bexport\s+[^'"]*\s+from\s+['"]([^'"]+)['"]""", drop="^node:"),
+            imports(r"""\bexport\s[^'"]*?\sfrom\s++['"]([^'"]+)['"]""", drop="^node:"),
         ],
         branch=words("if else+if for while switch catch finally case"),
         call_exclude="if for while switch catch function class return typeof instanceof "
@@ -135,13 +137,13 @@ BUILTIN_LANGUAGES = [
         skip_dirs="build dist cmake-build-debug cmake-build-release __pycache__ "
                   "node_modules out obj CMakeFiles Debug Release",
         rules=[
-            rule(r"^(?![ \t]*#)\s*+" + typed(r"\w:*&<>", "+")
+            rule(r"^(?![ \t]*#)\s*+" + typed(r"\w:*&<>", 1)
                  + r"(?:[\w:~]+::)?(\w+)\s*\([^)]*\)" + C_QUALIFIERS,
                  exclude="if for while switch return else catch"),
             rule(r"^[ \t]*(?:template\s*<[^>]*>\s*)?(?:class|struct)\s+(\w+)"
                  r"(?:\s*:\s*(?:public|protected|private)?\s*[\w:,\s]*)?\s*\{",
                  kind="class", calls=False, role="container"),
-            rule(r"^[ \t]+" + typed(r"\w:*&<>~", "*") + r"(~?\w+)\s*\([^)]*\)" + C_QUALIFIERS,
+            rule(r"^[ \t]+" + typed(r"\w:*&<>~", 0) + r"(~?\w+)\s*\([^)]*\)" + C_QUALIFIERS,
                  kind="method", role="member", exclude="if for while return"),
         ],
         imports=[imports(r'^\s*#\s*include\s+"([^"]+)"')],
@@ -152,10 +154,10 @@ BUILTIN_LANGUAGES = [
     Language(
         "java", "Java", ["java"], skip_dirs="build dist target out",
         rules=[
-            rule(r"^[ \t]*(?:(?:public|protected|private|abstract|static|final|strictfp)\s+)*"
+            rule(r"^[ \t]*(?:(?:public|protected|private|abstract|static|final|strictfp)\s+){0,12}"
                  r"(?:class|interface|enum|record)\s+(\w+)", kind="class", calls=False,
                  role="container"),
-            rule(r"^[ \t]+" + typed(r"\w<>,\[\]?", "+") + r"(\w+)\s*\([^)]*\)"
+            rule(r"^[ \t]+" + typed(r"\w<>,\[\]?", 1) + r"(\w+)\s*\([^)]*\)"
                  r"(?:\s*throws\s+[\w,\s]+)?\s*\{", kind="method", role="member",
                  exclude="if for while switch return catch try synchronized class interface "
                          "new throw void super this case"),
@@ -168,9 +170,9 @@ BUILTIN_LANGUAGES = [
         "csharp", "C#", ["cs"], skip_dirs="bin obj Properties packages",
         rules=[
             rule(r"^[ \t]*(?:(?:public|protected|internal|private|abstract|sealed|static|partial)"
-                 r"\s+)*(?:class|struct|interface|record)\s+(\w+)", kind="class", calls=False,
+                 r"\s+){0,12}(?:class|struct|interface|record)\s+(\w+)", kind="class", calls=False,
                  role="container"),
-            rule(r"^[ \t]+" + typed(r"\w<>,\[\]?", "+") + r"(\w+)\s*\([^)]*\)"
+            rule(r"^[ \t]+" + typed(r"\w<>,\[\]?", 1) + r"(\w+)\s*\([^)]*\)"
                  r"(?:\s*where\s+.*)?\s*\{", kind="method", role="member",
                  exclude="if for foreach while switch return catch try class interface new throw "
                          "void base this case typeof nameof sizeof"),
@@ -210,10 +212,10 @@ BUILTIN_LANGUAGES = [
     Language(
         "dart", "Dart", ["dart"], skip_dirs="build ios android web linux macos windows",
         rules=[
-            rule(r"^[ \t]*(?:(?:abstract|sealed|final|base|interface|mixin)\s+)*"
+            rule(r"^[ \t]*(?:(?:abstract|sealed|final|base|interface|mixin)\s+){0,12}"
                  r"(?:class|mixin|extension)\s+(\w+)", kind="class", calls=False,
                  role="container"),
-            rule(r"^[ \t]*" + typed(r"\w<>,_\[\]?", "+") + r"(_?\w+)\s*\([^)]*\)"
+            rule(r"^[ \t]*" + typed(r"\w<>,_\[\]?", 1) + r"(_?\w+)\s*\([^)]*\)"
                  r"(?:\s*async\*?|\s*sync\*)?\s*[{=]", kind="method", role="member",
                  exclude="if for while switch return catch try class mixin extension new throw "
                          "void super this case await yield var final const late get set"),
@@ -229,7 +231,7 @@ BUILTIN_LANGUAGES = [
         rules=[
             rule(r"^[ \t]*(?:(?:abstract|final|readonly)\s+)*(?:class|interface|trait|enum)"
                  r"\s+(\w+)", kind="class", calls=False, role="container"),
-            rule(r"^[ \t]*(?:(?:public|protected|private|static|final|abstract)\s+)*"
+            rule(r"^[ \t]*(?:(?:public|protected|private|static|final|abstract)\s+){0,12}"
                  r"function\s+(&?\w+)\s*\(", kind="method", role="loose",
                  exclude="if elseif for foreach while switch return catch try class interface "
                          "trait new throw case echo print require require_once include "

@@ -1,6 +1,6 @@
 """Per-file helpers for what Spark expressions cannot parse.
 
-Python needs the ``ast`` module, HTML a tag tokenizer, CSS a line automaton;
+Python needs the ``ast`` module, HTML a tag tokenizer, CSS a scan of its braces;
 block ends need a next-smaller-value search.  Each helper handles one text and
 returns plain rows; all scoring, joining and grouping is done by Spark.
 """
@@ -13,7 +13,7 @@ from bisect import bisect_left, bisect_right
 from html.parser import HTMLParser
 
 from srcgraph.functions.fixed import (
-    ASSET_ATTRIBUTE, CSS_NAME_WIDTH, EXTERNAL_PREFIXES, STRUCTURAL_TAGS, VOID_TAGS,
+    ASSET_ATTRIBUTE, EXTERNAL_PREFIXES, STRUCTURAL_TAGS, VOID_TAGS,
 )
 
 
@@ -54,17 +54,18 @@ def python_symbol(node, kind, **place):
                   () if kind == "class" else calls, ast.get_docstring(node), **place)
 
 
+def relative_path(level: int, module: str | None) -> str:
+    """A relative import as a path: one dot is the folder itself, each further one a step up."""
+    steps = ["."] if level == 1 else [".."] * (level - 1)
+    return "/".join(steps + (module.split(".") if module else []))
+
+
 def python_imports(nodes):
     for node in nodes:
         if isinstance(node, ast.Import):
             yield from (alias.name for alias in node.names)
-        elif isinstance(node, ast.ImportFrom):
-            if node.level:
-                climb = "./" if node.level == 1 else "../" * (node.level - 1)
-                tail = (node.module or "").replace(".", "/")
-                yield climb + tail if tail else climb.rstrip("/")
-            elif node.module:
-                yield node.module
+        elif isinstance(node, ast.ImportFrom) and (node.level or node.module):
+            yield relative_path(node.level, node.module) if node.level else node.module
 
 
 def python_bindings(tree):
@@ -117,105 +118,103 @@ def parse_python(text: str) -> dict:
 
 
 # --- HTML -------------------------------------------------------------------
-class TagCollector(HTMLParser):
-    """Elements with an id and structural elements, nested by open tracked tags."""
+class Tags(HTMLParser):
+    """The flat list of tags: (tag, attributes or None for an end tag, line)."""
 
     def __init__(self):
         super().__init__()
-        self.symbols, self.imports, self.open, self.level, self.roots = [], [], [], 0, 0
-        self.sizes: dict[int, int] = {}
+        self.events = []
 
     def handle_starttag(self, tag, attrs):
-        values = dict(attrs)
-        asset = values.get(ASSET_ATTRIBUTE.get(tag, ""))
-        if asset and not asset.startswith(EXTERNAL_PREFIXES):
-            self.imports.append(asset)
-        if tag in VOID_TAGS:
-            return
-        self.level += 1
-        if values.get("id"):
-            name = f"#{values['id']} ({tag})"
-        elif tag in STRUCTURAL_TAGS:
-            name = f"<{tag}>"
-        else:
-            return
-        line = self.getpos()[0]
-        if self.open:
-            parent = self.open[-1][1]
-            top = parent["top_ord"]
-            self.sizes[top] += 1
-            found = symbol(name, "html_node", line, line, self.level, len(attrs), top=top,
-                           sub=self.sizes[top], parent=parent["sub_ord"],
-                           depth=parent["depth"] + 1, unclosed=True)
-        else:
-            found = symbol(name, "html_node", line, line, self.level, len(attrs),
-                           top=self.roots, unclosed=True)
-            self.sizes[self.roots] = 0
-            self.roots += 1
-        self.symbols.append(found)
-        self.open.append((tag, found))
+        self.events.append((tag, attrs, self.getpos()[0]))
 
     def handle_endtag(self, tag):
+        self.events.append((tag, None, self.getpos()[0]))
+
+
+def node_name(tag, attrs) -> str | None:
+    """Name of an element that counts as a symbol: one with an id, or a structural one."""
+    own = dict(attrs).get("id")
+    return f"#{own} ({tag})" if own else f"<{tag}>" if tag in STRUCTURAL_TAGS else None
+
+
+def html_nodes(events, last_line: int) -> list[dict]:
+    """Tracked elements with parents and ends, by a fold over the tags with a stack of open ones.
+
+    An end tag closes the innermost open element of its name and all inside it;
+    what no end tag closes runs to the last line.
+    """
+    nodes, path, level, sizes = [], [], 0, []
+    for tag, attrs, line in events:
         if tag in VOID_TAGS:
-            return
-        self.level = max(0, self.level - 1)
-        if any(name == tag for name, _ in self.open):
-            closed = None
-            while closed != tag:
-                closed, found = self.open.pop()
-                found.update(line_end=self.getpos()[0], unclosed=False)
+            continue
+        if attrs is None:
+            level = max(0, level - 1)
+            inner = next((i for i in reversed(range(len(path))) if path[i][0] == tag), len(path))
+            for _, node in path[inner:]:
+                node.update(line_end=line, unclosed=False)
+            del path[inner:]
+            continue
+        level += 1
+        name = node_name(tag, attrs)
+        if name is None:
+            continue
+        above = path[-1][1] if path else None
+        if above is None:
+            sizes.append(0)
+            place = dict(top=len(sizes) - 1)
+        else:
+            sizes[above["top_ord"]] += 1
+            place = dict(top=above["top_ord"], sub=sizes[above["top_ord"]], parent=above["sub_ord"], depth=above["depth"] + 1)
+        node = symbol(name, "html_node", line, last_line, level, len(attrs), unclosed=True, **place)
+        nodes.append(node)
+        path.append((tag, node))
+    return nodes
 
 
 def parse_html(text: str) -> dict:
     lines = len(text.splitlines())
-    collector = TagCollector()
+    tags = Tags()
     try:
-        collector.feed(text)
-        collector.close()
+        tags.feed(text)
+        tags.close()
     except Exception:  # malformed markup: keep what was collected so far
         pass
-    for _, found in collector.open:
-        found["line_end"] = lines
-    return dict(status="ok", line_count=lines, symbols=collector.symbols,
-                imports=collector.imports, bindings=[], references=[])
+    assets = [dict(attrs).get(ASSET_ATTRIBUTE.get(tag, "")) for tag, attrs, _ in tags.events if attrs is not None]
+    return dict(status="ok", line_count=lines, symbols=html_nodes(tags.events, lines),
+                imports=[a for a in assets if a and not a.startswith(EXTERNAL_PREFIXES)], bindings=[], references=[])
 
 
 # --- CSS --------------------------------------------------------------------
-def uncommented(lines):
-    """(line number, text) of the lines, or line tails, that stand outside comments."""
-    inside = False
-    for number, line in enumerate(lines, 1):
-        text = re.sub(r"/\*.*?\*/", "", line.strip())
-        if "/*" in text:
-            inside, text = True, text.partition("/*")[0]
-        if "*/" in text:
-            inside, text = False, text.partition("*/")[2]
-        if not inside:
-            yield number, text
+CSS_TOKEN = re.compile(r"""/\*.*?(?:\*/|\Z)|"(?:[^"\\\n]|\\.)*"?|'(?:[^'\\\n]|\\.)*'?|[{};\n]""", re.S)
+# At-rules that hold rules; all others hold declarations or frames.
+CSS_GROUPS = ("@media", "@supports", "@layer", "@container", "@document", "@scope", "@starting-style")
 
 
 def parse_css(text: str) -> dict:
-    lines = text.splitlines()
-    found, level, selector, start = [], 0, [], None
-    for number, line in uncommented(lines):
-        if "{" in line:
-            selector.append(line.partition("{")[0])
-            start = number if level == 0 else start
-            level += line.count("{")
-        elif "}" in line:
-            level -= line.count("}")
-            if level == 0 and start is not None:
-                name = " ".join(" ".join(selector).split())
-                if name and not name.startswith("@"):
-                    body = lines[start - 1:number]
-                    short = name if len(name) <= CSS_NAME_WIDTH else name[:CSS_NAME_WIDTH] + "..."
-                    found.append(symbol(short, "css_rule", start, number, 0,
-                                        sum(l.count(";") for l in body), top=len(found)))
-                selector, start = [], None
-        elif level == 0:
-            selector.append(line)
-    return dict(status="ok", line_count=len(lines), symbols=found, imports=[], bindings=[],
-                references=[])
+    """Rules by braces: comments and strings are skipped, rules inside grouping at-rules count, nested ones belong to their rule."""
+    found, blocks, head, at, line = [], [], [], 0, 1
+    for token in CSS_TOKEN.finditer(text):
+        mark = token.group()
+        head.append(text[at:token.start()] + (mark if mark[0] in "\"'" else " " if mark == "\n" or mark[0] == "/" else ""))
+        at = token.end()
+        line += mark.count("\n")
+        outer = next((b for b in blocks if b["kind"] == "rule"), None)
+        if mark == "{":
+            name = " ".join("".join(head).split())
+            kind = "group" if name.startswith(CSS_GROUPS) else "other" if name.startswith("@") or not name else "rule"
+            if any(b["kind"] == "other" for b in blocks):
+                kind = "other"
+            blocks.append(dict(kind=kind, name=name, start=line, parts=0))
+        elif mark == ";" and outer:
+            outer["parts"] += 1
+        elif mark == "}" and blocks:
+            block = blocks.pop()
+            if block is outer:
+                found.append(symbol(block["name"], "css_rule", block["start"], line, 0, block["parts"], top=len(found)))
+        if mark in "{};":
+            head = []
+    return dict(status="ok", line_count=len(text.splitlines()), symbols=found, imports=[], bindings=[], references=[])
 
 
 TREE_PARSERS = {"python": parse_python, "html": parse_html, "css": parse_css}

@@ -1,9 +1,10 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from srcgraph.functions.languages import AdapterRegistry, Language, rule
+from srcgraph.functions.languages import AdapterRegistry, BUILTIN_LANGUAGES, Language, rule
 from srcgraph.functions.trees import block_layout, parse_css, parse_html, parse_python
 from srcgraph.operators import parse
 
@@ -261,5 +262,31 @@ def test_html_details():
 def test_css_details():
     out = parse_css("/* head\n more */\n.a,\n.b   > i {\n  color: red;\n  margin: 0;\n}\n@media print {\n  .c { x: y; }\n}\n" + ".w" * 40 + " {\n}\n")
     rows = [(s["name"], s["line_start"], s["line_end"], s["branch_count"]) for s in out["symbols"]]
-    assert rows[0] == (".a, .b > i", 4, 7, 2)
-    assert len(rows) == 1  # a rule on one line only opens, so the media block and what follows stay open
+    assert rows == [(".a, .b > i", 4, 7, 2), (".c", 9, 9, 1), (".w" * 40, 11, 12, 0)]
+
+
+def test_css_on_one_line():
+    """Minified sheets, comments and strings with braces, at-rules, nesting, what never closes."""
+    out = parse_css('@import "x;y";.a{color:red}.b{c:"}";d:1;/* } ; */e:2}@font-face{src:url(x);}@media (x){.c{}@supports (y){.d{z:1;}}}'
+                    "@keyframes k{from{a:b;}to{}} .e{ .f{g:h;} i:j; } } .g{a:b}\n.h{open: 1;\n")
+    assert [(s["name"], s["line_start"], s["line_end"], s["branch_count"]) for s in out["symbols"]] == [
+        (".a", 1, 1, 0), (".b", 1, 1, 2), (".c", 1, 1, 0), (".d", 1, 1, 1), (".e", 1, 1, 2), (".g", 1, 1, 0)]
+    assert parse_css("")["symbols"] == [] and parse_css("}}{")["symbols"] == [] and parse_css("/* open {")["symbols"] == []
+
+
+LONG_LINES = {
+    "literal": "  const a = {" + "k: 'v', " * 130_000 + "};", "words": "  " + "public a static " * 65_000, "blanks": "  x" + " " * 1_000_000,
+    "open": "  f" + "(" * 1_000_000, "code": "  " + "if(a){b(c)}else{d=e[0]};" * 43_000, "one": "  " + "x" * 1_000_000,
+    "types": "  static final int " + "f<a,b> " * 140_000 + "(",
+}
+
+
+def test_long_lines(spark):
+    """A megabyte on one line neither stalls nor ends a parse, in any pattern language; other files are not touched by it."""
+    names = [l.adapter for l in BUILTIN_LANGUAGES if l.engine == "regex"]
+    rows = [(f"{n}/{k}", n, line) for n in names for k, line in LONG_LINES.items()] + [("ok.js", "javascript", "function ok() {\n}\n")]
+    files = spark.createDataFrame(rows, "file_path string, adapter string, text string").repartition(8, "file_path")
+    start = time.time()
+    found = {r.file_path: r.n for r in parse.parse_files(files).select("file_path", F.size("symbols").alias("n")).collect()}
+    assert len(found) == len(rows) and found["ok.js"] == 1
+    assert time.time() - start < 240  # seventy megabytes
