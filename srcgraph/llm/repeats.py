@@ -31,8 +31,8 @@ from srcgraph.llm.words import STEP, Texts, U, mix, powers, slices
 PLACE_BITS = U(28)
 FLUSH = 1_000_000
 ASK, DONE, OPEN = 0, 1, 2
-ROWS = "bucket int, kind int, doc_id long, a binary, b binary, c binary, d binary, e binary"
-NAMES = ["bucket", "kind", "doc_id", "a", "b", "c", "d", "e"]
+ROWS = "bucket int, kind int, a binary, b binary, c binary, d binary, e binary"
+NAMES = ["bucket", "kind", "a", "b", "c", "d", "e"]
 FOUND = "doc_id long, kind int, spans binary"
 
 
@@ -92,30 +92,24 @@ def as_docs(values: np.ndarray) -> np.ndarray:
 
 
 def batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
     return pa.record_batch([pa.array([r[i] if i < len(r) else None for r in rows], t) for i, t in enumerate(kinds)], NAMES)
 
 
-def span_rows(doc, start, count, source, source_start, keep_source: bool) -> list[tuple[int, bytes]]:
-    """Spans packed per document; spans that go on where the last one ended are joined."""
+def joined(doc, start, count, source, source_start, keep_source: bool) -> list[np.ndarray]:
+    """Spans sorted by document; spans that go on where the last one ended are one."""
     if not keep_source:
         source, source_start = np.zeros_like(doc), start
     shift = source_start - start
     order = np.lexsort((start, shift, source, doc))
     doc, start, count, source, shift = (x[order] for x in (doc, start, count, source, shift))
-    if not len(doc):
-        return []
     end = start + count
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (source[1:] != source[:-1]) | (shift[1:] != shift[:-1]) | (start[1:] > end[:-1])
     head = np.flatnonzero(new)
-    end = np.maximum.reduceat(end, head)
-    columns = [start[head], end - start[head]] + ([source[head], (start + shift)[head]] if keep_source else [])
-    table = np.stack(columns, axis=1).astype(np.int64)
-    doc = doc[head]
-    edge = np.concatenate([np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])), [len(doc)]])
-    kind = np.int32 if not keep_source else np.int64
-    return [(int(doc[a]), table[a:z].astype(kind).tobytes()) for a, z in zip(edge[:-1], edge[1:])]
+    end = np.maximum.reduceat(end, head) if len(head) else end
+    doc, start, source, shift = (x[head] for x in (doc, start, source, shift))
+    return [doc, start, end - start] + ([source, start + shift] if keep_source else [])
 
 
 def settle_segments(h, s, doc, start, count, flag):
@@ -162,7 +156,7 @@ Items = Callable[[Texts], tuple[np.ndarray, np.ndarray]]
 
 def repeated(docs: DataFrame, items: Items, gram: int, window: int, sources: bool = False,
              group_windows: Callable | None = None) -> DataFrame:
-    """(doc_id, kind, spans): windows that also start in a document with a smaller doc_id.
+    """(doc_id, spans): windows that also start in a document with a smaller doc_id, in one or two rows per document.
 
     ``items`` gives the hash of every item of a slice of texts and each text's
     first item.  A span is a run of window starts (start, windows) and, with
@@ -179,12 +173,12 @@ def repeated(docs: DataFrame, items: Items, gram: int, window: int, sources: boo
     def to_owner(owner, kind, *columns) -> list[tuple]:
         order = np.argsort(owner, kind="stable")
         edge = np.searchsorted(owner[order], np.arange(buckets + 1))
-        return [(p, kind, None, *(packed(c[i]) for c in columns)) for p in range(buckets)
-                if len(i := order[edge[p]:edge[p + 1]])]
+        return [(p, kind, *(packed(c[i]) for c in columns)) for p in range(buckets) if len(i := order[edge[p]:edge[p + 1]])]
 
     def known(kind, *columns) -> list[tuple]:
-        """Rows that owners only pass on; the document spreads them."""
-        return [(doc % buckets, kind, doc, spans) for doc, spans in span_rows(*columns, sources)]
+        """Spans on their way to the task that gathers them by document."""
+        doc, *rest = joined(*columns, sources)
+        return to_owner(doc % buckets, kind, as_docs(doc), rest[0], rest[1], *map(as_docs, rest[2:]))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -215,22 +209,36 @@ def repeated(docs: DataFrame, items: Items, gram: int, window: int, sources: boo
 
     def owners(settle):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            asked, rows = [], []
+            asked = []
             for b in batches:
-                for r in b.to_pylist():
-                    if r["kind"] == ASK:
-                        asked.append([unpacked(r[c]) for c in "abcde" if r[c] is not None])
-                    else:
-                        rows.append((r["doc_id"], r["kind"], r["a"]))
+                asks = np.asarray(b.column(1)) == ASK
+                for row in b.filter(pa.array(asks)).to_pylist():
+                    asked.append([unpacked(row[c]) for c in "abcde" if row[c] is not None])
+                if not asks.all():
+                    yield b.filter(pa.array(~asks))
             if asked:
-                for kind, columns in settle(*(np.concatenate(x) for x in zip(*asked))):
-                    rows += [(d, kind, spans) for d, spans in span_rows(*columns, sources)]
-            for at in range(0, len(rows), 20000):
-                part = rows[at:at + 20000]
-                yield pa.record_batch([pa.array([r[i] for r in part], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary()))],
-                                      ["doc_id", "kind", "spans"])
+                yield batch([row for kind, columns in settle(*(np.concatenate(x) for x in zip(*asked))) for row in known(kind, *columns)])
         return run
 
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row per document and kind with all its spans."""
+        held: dict[int, list] = {DONE: [], OPEN: []}
+        for b in batches:
+            for row in b.to_pylist():
+                held[row["kind"]].append([unpacked(row[c]) for c in "abcde" if row[c] is not None])
+        for kind, found in held.items():
+            if not found:
+                continue
+            doc, start, count, *rest = (np.concatenate(x) for x in zip(*found))
+            doc, *columns = joined(doc, start, count, *(rest or (doc, start)), sources)
+            table = np.stack(columns, axis=1).astype(kind_of)
+            edge = np.append(np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])), len(doc))
+            for at in range(0, len(edge) - 1, 5000):
+                part = edge[at:at + 5001]
+                yield pa.record_batch([pa.array(doc[part[:-1]]), pa.array(np.full(len(part) - 1, kind, np.int32)),
+                                       pa.array([table[a:z].tobytes() for a, z in zip(part[:-1], part[1:])], pa.binary())],
+                                      ["doc_id", "kind", "spans"])
+
     def own_segments(h, s, doc, start, mixed_count):
         count, flag = mixed_count >> 1, (mixed_count & 1).astype(bool)
         later, source, left, is_open, _ = settle_segments(h, s, doc, start, count, flag)
@@ -246,7 +254,7 @@ def repeated(docs: DataFrame, items: Items, gram: int, window: int, sources: boo
                 values, first = items(part)
                 starts = []
                 for i in range(high - low):
-                    runs = np.concatenate([np.frombuffer(x, kind_of).reshape(-1, width) for x in spans[low + i]])
+                    runs = np.frombuffer(spans[low + i], kind_of).reshape(-1, width)
                     mark = np.zeros(first[i + 1] - first[i] + 1, np.int64)
                     np.add.at(mark, runs[:, 0], 1)
                     np.add.at(mark, runs[:, 0] + runs[:, 1], -1)
@@ -277,9 +285,10 @@ def repeated(docs: DataFrame, items: Items, gram: int, window: int, sources: boo
         yield DONE, (doc[later], start[later], np.ones(len(later), np.int64), doc[source], start[source])
 
     def stage(frame, first, second):
-        return cut(frame.mapInArrow(first, ROWS).repartition(buckets, "bucket").mapInArrow(owners(second), FOUND))[0]
+        return cut(frame.mapInArrow(first, ROWS).repartition(buckets, "bucket").mapInArrow(owners(second), ROWS)
+                   .repartition(buckets, "bucket").mapInArrow(gather, FOUND))[0]
 
     one = stage(texts, find, own_segments)
-    todo = one.where(F.col("kind") == OPEN).groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
+    todo = one.where(F.col("kind") == OPEN).select("doc_id", "spans")
     two = stage(texts.join(todo.hint("merge"), "doc_id").select("doc_id", "text", "spans"), compare, own_windows)
     return one.where(F.col("kind") == DONE).unionByName(two).select("doc_id", "spans")
