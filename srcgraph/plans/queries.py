@@ -18,7 +18,7 @@ from srcgraph.functions.score import file_score
 from srcgraph.operators import compare, graph, model, parse, resolve, splits, usage, views
 from srcgraph.plans import derived
 from srcgraph.plans.engine import Engine
-from srcgraph.session import shared_folder, spread_small
+from srcgraph.session import cut, shared_folder, spread_small
 from srcgraph.streaming.watch import state_changes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -742,15 +742,35 @@ def changed_paths(spark, folder):
     return compare.changed_paths(before, listing(events.where(F.col("ts") >= F.lit("2024-01-04").cast("timestamp"))))
 
 
-@query("stream_changes", "SELECT DISTINCT user_id || '/' || event_type AS path, 'added' AS change FROM events")
+ROUNDS = ["2024-01-04", "2024-01-25"]  # where one batch of file states ends and the next begins
+ROUND_SQL = "CASE " + " ".join(f"WHEN ts < TIMESTAMP '{t}' THEN {i}" for i, t in enumerate(ROUNDS)) + f" ELSE {len(ROUNDS)} END"
+
+
+@query("stream_changes", f"""WITH
+    state AS (SELECT user_id || '/' || event_type AS path, {ROUND_SQL} AS round, max(ts) AS m, count(*) AS n FROM events GROUP BY 1, 2),
+    pair AS (SELECT coalesce(a.path, b.path) AS path, b.m AS bm, b.n AS bn, a.m AS am, a.n AS an
+             FROM state a FULL JOIN (SELECT path, round + 1 AS round, m, n FROM state WHERE round < {len(ROUNDS)}) b
+             ON a.path = b.path AND a.round = b.round)
+    SELECT path, CASE WHEN bm IS NULL THEN 'added' WHEN am IS NULL THEN 'removed' ELSE 'changed' END AS change FROM pair
+    WHERE (am, an) IS DISTINCT FROM (bm, bn)""")
 def stream_changes(spark, folder):
-    """Events arrive as a stream of file states; the changes of all batches together."""
-    schema = table(spark, folder, "events").schema
-    state = os.path.join(shared_folder(spark), f"stream-{uuid.uuid4().hex}")
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder).select(
-        F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("path"), F.col("ts").alias("mtime"), F.col("event_id").alias("size"))
-    state_changes(stream, state).awaitTermination()
-    return spark.read.parquet(os.path.join(state, "changes")).select("path", "change")
+    """File states arrive in batches of a stream, files that went without size; the changes of all batches together."""
+    place = os.path.join(shared_folder(spark), f"stream-{uuid.uuid4().hex}")
+    turn = F.lit(len(ROUNDS))
+    for i, t in reversed(list(enumerate(ROUNDS))):
+        turn = F.when(F.col("ts") < F.lit(t).cast("timestamp"), F.lit(i)).otherwise(turn)
+    states, _ = cut(table(spark, folder, "events").groupBy(
+        F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("path"), turn.alias("turn")).agg(
+        F.unix_micros(F.max("ts").cast("timestamp")).alias("mtime"), F.count(F.lit(1)).alias("size")))
+    schema = "path string, mtime long, size long"
+    for i in range(len(ROUNDS) + 1):
+        here = states.where(F.col("turn") == i).select("path", "mtime", "size")
+        gone = states.where(F.col("turn") == i - 1).join(here, "path", "left_anti").select(
+            "path", F.unix_micros(F.lit(ROUNDS[i - 1]).cast("timestamp")).alias("mtime"), F.lit(None).cast("long").alias("size"))
+        here.unionByName(gone).write.mode("append").parquet(os.path.join(place, "states"))
+        stream = spark.readStream.schema(schema).parquet(os.path.join(place, "states"))
+        state_changes(stream, place).awaitTermination()
+    return spark.read.parquet(os.path.join(place, "changes")).select("path", "change")
 
 
 def turns(spark, folder):

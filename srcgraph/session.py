@@ -61,3 +61,9 @@ def cut(frame: DataFrame, *metrics) -> tuple[DataFrame, dict]:
     path = os.path.join(shared_folder(spark), f"table-{uuid.uuid4().hex}")
     frame.observe(seen, F.count(F.lit(1)).alias("n"), *metrics).write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path), seen.get
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a table that nothing reads any more, in whatever store it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

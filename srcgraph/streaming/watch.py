@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from srcgraph.operators.compare import changed_paths
+from srcgraph.session import remove_path
 from srcgraph.sources.log import TableLog
 from srcgraph.sources.scan import snapshot
 
@@ -50,15 +51,19 @@ class Watcher:
             return None
         changes = changed_paths(before, after)
         if changes.isEmpty():
+            remove_path(self.spark, self._path(name))
             return None
         changes.select(F.lit(tick).cast("long").alias("tick"), F.current_timestamp().alias("ts"), "path", "change").write.mode(
             "append").parquet(self._path("events"))
+        old = self.log.names()
         self.log.append("add", name)
         if self.on_change:
             try:
                 self.on_change(changes)
             except Exception as error:  # a failed refresh must not end the watch
                 print(f"refresh failed: {error}")
+        for gone in old[:-1]:  # the last but one is still what ``changes`` reads
+            remove_path(self.spark, self._path(gone))
         return changes
 
     def start(self, interval: str = "1 second") -> StreamingQuery:
@@ -72,15 +77,23 @@ class Watcher:
         return self.spark.read.parquet(self._path("events"))
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def newest_state(key, batches, state):
-    """Changes of one path: its newest (mtime, size) against the one kept from earlier batches."""
+    """Changes of one path: its newest (mtime, size) against the one kept from earlier batches; no size means the file went."""
     newest = None
     for batch in batches:
-        top = max(zip(batch["mtime"], batch["size"]))
-        newest = top if newest is None or top > newest else newest
-    found = (newest[0].value if hasattr(newest[0], "value") else int(newest[0]), int(newest[1]))
-    kind = "added" if not state.exists else "changed" if tuple(state.get) != found else None
-    state.update(found)
+        for mtime, size in zip(batch["mtime"], batch["size"]):
+            row = (getattr(mtime, "value", mtime), -1 if pd.isna(size) else int(size))
+            newest = row if newest is None or row > newest else newest
+    if newest[1] < 0:
+        kind = "removed" if state.exists else None
+        if state.exists:
+            state.remove()
+    else:
+        kind = "added" if not state.exists else "changed" if tuple(state.get) != newest else None
+        state.update(newest)
     if kind:
         yield pd.DataFrame({"path": [key[0]], "change": [kind]})
 
@@ -88,9 +101,11 @@ def newest_state(key, batches, state):
 def state_changes(stream: DataFrame, output: str) -> StreamingQuery:
     """Append the changes of a stream of file states (path, mtime, size) to ``<output>/changes``.
 
-    Spark keeps the last state of every path in its state store, so a batch
-    costs what its own rows cost, not the size of the tree.
+    A row without size says that the file is gone; its state goes with it.
+    Spark keeps the last state of every path that exists in its state store,
+    on disk, so a batch costs what its own rows cost, not the size of the tree.
     """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     changes = stream.groupBy("path").applyInPandasWithState(
         newest_state, "path string, change string", "mtime long, size long", "append", GroupStateTimeout.NoTimeout)
     return (changes.writeStream.trigger(availableNow=True).outputMode("append").format("parquet")
