@@ -7,6 +7,7 @@ expressions of ``operators/parse.py`` with the patterns held in the row,
 """
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession, types as T
@@ -281,6 +282,7 @@ class AdapterRegistry:
 
     def __init__(self, languages=BUILTIN_LANGUAGES):
         self._languages = {language.adapter: language for language in languages}
+        self.parsers: dict[str, Callable[[str], dict]] = {}
 
     def register(self, language: Language) -> "AdapterRegistry":
         taken = {e.lower().lstrip(".") for e in language.extensions}
@@ -292,6 +294,17 @@ class AdapterRegistry:
             language, adapter=language.adapter.lower(), extensions=sorted(taken))
         return self
 
+    def register_parser(self, adapter: str, extensions: list[str], parser: Callable[[str], dict],
+                        language: str | None = None, skip_dirs: str = "") -> "AdapterRegistry":
+        """Adapter whose files a function of the user parses: text -> dict(symbols=[..], imports=[..]).
+
+        Symbols have the fields of ``functions.trees.symbol``.  The function runs
+        in the tasks, once per file; if it fails, that file has no symbols.
+        """
+        engine = f"own:{adapter.lower()}"
+        self.parsers[engine] = parser
+        return self.register(Language(adapter, language or adapter.capitalize(), list(extensions), engine, skip_dirs))
+
     def get(self, name: str) -> Language:
         if name.lower() not in self._languages:
             raise ValueError(f"no adapter for language {name!r}; "

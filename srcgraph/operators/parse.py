@@ -168,14 +168,26 @@ def layout_blocks(mode: pa.Array, net: pa.Array, opens: pa.Array, marks: pa.Arra
     return pa.array([block_layout(*row) for row in zip(*columns)], to_arrow_type(LAYOUT_TYPE))
 
 
-@F.arrow_udf(TREE_TYPE)
-def parse_trees(engine: pa.Array, text: pa.Array) -> pa.Array:
-    rows = [TREE_PARSERS[e](t) for e, t in zip(engine.to_pylist(), text.to_pylist())]
-    return pa.array(rows, to_arrow_type(TREE_TYPE))
+def parse_tree(parser, text: str) -> dict:
+    """One file's rows; a parser that fails costs its own file's symbols and nothing else."""
+    nothing = dict(line_count=text.count("\n") + 1, symbols=[], imports=[], bindings=[], references=[])
+    try:
+        return {**nothing, "status": "ok", **parser(text)}
+    except Exception:
+        return {**nothing, "status": "parse_error"}
+
+
+def tree_parser(parsers: dict):
+    """Column function (engine, text) -> parsed tree, with the helpers of these engines."""
+    @F.arrow_udf(TREE_TYPE)
+    def parse_trees(engine: pa.Array, text: pa.Array) -> pa.Array:
+        rows = [parse_tree(parsers[e], t) for e, t in zip(engine.to_pylist(), text.to_pylist())]
+        return pa.array(rows, to_arrow_type(TREE_TYPE))
+    return parse_trees.asNondeterministic()
 
 
 # Never evaluated twice or moved into another expression by the optimizer.
-layout_blocks, parse_trees = layout_blocks.asNondeterministic(), parse_trees.asNondeterministic()
+layout_blocks = layout_blocks.asNondeterministic()
 
 
 def status(parsed: Column) -> Column:
@@ -281,10 +293,10 @@ def parse_regex(files: DataFrame) -> DataFrame:
         F.array().cast(T.ArrayType(REFERENCE_TYPE)).alias("references"))
 
 
-def parse_tree_files(files: DataFrame) -> DataFrame:
+def parse_tree_files(files: DataFrame, parsers: dict = TREE_PARSERS) -> DataFrame:
     parsed = files.select("file_path", "adapter", "language", "unread", "engine",
                           import_strings(F.col("text"), F.col("imports")).alias("by_rule"),
-                          parse_trees("engine", "text").alias("t"))
+                          tree_parser(parsers)("engine", "text").alias("t"))
     return parsed.select(
         "file_path", "adapter", "language",
         F.when(F.col("unread"), F.lit(0)).otherwise(F.col("t.line_count")).alias("line_count"),
@@ -309,13 +321,23 @@ def parse_files(files: DataFrame, registry: AdapterRegistry | None = None,
     if "regex" in engines:
         branches.append(parse_regex(base.where(F.col("adapter").isin(regex)).join(F.broadcast(dim), "adapter")))
     if "tree" in engines:
-        branches.append(parse_tree_files(base.where(F.col("adapter").isin(tree)).join(F.broadcast(dim), "adapter")))
+        branches.append(parse_tree_files(base.where(F.col("adapter").isin(tree)).join(F.broadcast(dim), "adapter"),
+                                         {**TREE_PARSERS, **registry.parsers}))
     out = branches[0]
     for other in branches[1:]:
         out = out.unionByName(other)
     return out.select(*PARSED_COLUMNS)
 
 
+def parse_listing(listing: DataFrame, read, registry: AdapterRegistry | None = None) -> DataFrame:
+    """Parse listed files: the listing is split by engine first and ``read`` adds the text, so each file is opened once."""
+    registry = registry or AdapterRegistry()
+    kinds = {"regex": [l.adapter for l in registry.languages() if l.engine == "regex"],
+             "tree": [l.adapter for l in registry.languages() if l.engine != "regex"]}
+    one, two = (parse_files(read(listing.where(F.col("adapter").isin(names))), registry, (kind,)) for kind, names in kinds.items())
+    return one.unionByName(two)
+
+
 def symbol_rows(parsed: DataFrame) -> DataFrame:
     # Outer explode: for the inner one Spark adds a filter on the array's size,
     # which would evaluate the whole parse a second time.

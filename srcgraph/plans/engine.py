@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import os
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, partial
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -14,10 +14,10 @@ from srcgraph.functions.fixed import CROSS_CUTTING_MIN, MONOLITH_MIN
 from srcgraph.functions.languages import AdapterRegistry
 from srcgraph.functions.purpose import exempt_from_dead
 from srcgraph.operators import compare, graph, model, resolve, splits, usage, views
-from srcgraph.operators.parse import import_rows, parse_files, symbol_rows
+from srcgraph.operators.parse import import_rows, parse_files, parse_listing, symbol_rows
 from srcgraph.sources.cache import ParseCache
 from srcgraph.sources.git import export_revision
-from srcgraph.sources.scan import detect_languages, scan_sources
+from srcgraph.sources.scan import detect_languages, scan_sources, with_text
 
 
 @dataclass
@@ -32,6 +32,12 @@ class CodeModel:
     top_n: int = 10
     root: str | None = None
 
+    def release(self) -> None:
+        """Give back the blocks of this model; its tables can still be computed anew."""
+        for name in ("parsed", "files", "edges"):
+            if name in self.__dict__:
+                self.__dict__[name].unpersist()
+
     @cached_property
     def imports(self) -> DataFrame:
         return import_rows(self.parsed)
@@ -158,13 +164,18 @@ class Engine:
 
     def analyze(self, root: str, top_n: int = 10, lang: str | None = None,
                 ignore: list[str] | None = None) -> CodeModel:
-        files = scan_sources(self.spark, root, self.registry, lang, ignore)
-        return self.analyze_table(files, os.path.basename(root.rstrip("/")), top_n, root)
+        listing = scan_sources(self.spark, root, self.registry, lang, ignore, content=False)
+        read = partial(with_text, root=root)
+        parsed = self.cache.parse(listing, self.registry, read) if self.cache else parse_listing(listing, read, self.registry)
+        return self._model(parsed, os.path.basename(root.rstrip("/")), top_n, root)
 
     def analyze_table(self, files: DataFrame, project: str = "", top_n: int = 10,
                       root: str | None = None) -> CodeModel:
         """Analyse a table (file_path, adapter, text), for example a corpus kept in Parquet."""
         parsed = self.cache.parse(files, self.registry) if self.cache else parse_files(files, self.registry)
+        return self._model(parsed, project, top_n, root)
+
+    def _model(self, parsed: DataFrame, project: str, top_n: int, root: str | None) -> CodeModel:
         return CodeModel(self.spark, project, parsed.persist(StorageLevel.MEMORY_AND_DISK),
                          self.registry, self.domains, top_n, root)
 
@@ -181,4 +192,4 @@ class Engine:
 
     def diff_revision(self, repository: str, ref: str, lang: str | None = None,
                       folder: str | None = None) -> DataFrame:
-        return self.diff(export_revision(repository, ref, folder), repository, lang)
+        return self.diff(export_revision(repository, ref, folder, self.spark), repository, lang)

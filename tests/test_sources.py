@@ -5,11 +5,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from srcgraph.functions import paths
+from srcgraph.functions.languages import AdapterRegistry
+from srcgraph.functions.trees import symbol
 from srcgraph.plans import payloads
 from srcgraph.plans.engine import Engine
 from srcgraph.sources.cache import ParseCache
 from srcgraph.sources.git import export_revision
-from srcgraph.sources.scan import IGNORE_FILE, detect_languages, ignored, list_files, load_ignore_patterns, scan_sources, snapshot
+from srcgraph.sources.scan import IGNORE_FILE, detect_languages, ignored, list_files, load_ignore_patterns, scan_sources, snapshot, with_text
 from srcgraph.streaming.watch import Watcher, state_changes
 
 TREE = {
@@ -118,6 +120,41 @@ def test_documents(model):
     assert '"name"' in payloads.to_json(doc)
 
 
+def test_warm_runs_open_only_new_files(spark, tmp_path):
+    root, cache, opened = tmp_path / "src", ParseCache(spark, str(tmp_path / "cache")), []
+
+    def read(listing):
+        opened.extend(r.file_path for r in listing.select("file_path").collect())
+        return with_text(listing, str(root))
+
+    def run():
+        opened.clear()
+        parsed = cache.parse(scan_sources(spark, str(root), content=False), read=read)
+        return {r.file_path: len(r.symbols) for r in parsed.collect()}
+
+    write(root, {"a.py": "def a(): pass\n", "b.css": ".x{a:b}.y{c:d}", "c.js": "function c() {\n}\n"})
+    assert run() == {"a.py": 1, "b.css": 2, "c.js": 1} and sorted(opened) == ["a.py", "b.css", "c.js"]
+    assert run() == {"a.py": 1, "b.css": 2, "c.js": 1} and opened == []
+    write(root, {"b.css": ".x{a:b} .z{long:1}.y{c:d}"})
+    assert run() == {"a.py": 1, "b.css": 3, "c.js": 1} and opened == ["b.css"]
+
+
+def test_own_parser(spark, tmp_path):
+    """A function of the user as a parser, and one that fails on one file."""
+    def parse_ini(text):
+        if "broken" in text:
+            raise ValueError("no")
+        lines = text.split("\n")
+        return {"symbols": [symbol(line[1:-1], "section", n, n, 0, 0, top=n) for n, line in enumerate(lines, 1) if line.startswith("[")],
+                "imports": [line[8:] for line in lines if line.startswith("include ")]}
+
+    write(tmp_path, {"a.ini": "[one]\ninclude x.ini\n[two]\n", "b.ini": "[broken]\n", "c.py": "x = 1\n"})
+    registry = AdapterRegistry().register_parser("ini", [".ini"], parse_ini)
+    parsed = {r.file_path: r for r in Engine(spark, registry).analyze(str(tmp_path)).parsed.collect()}
+    assert [s.name for s in parsed["a.ini"].symbols] == ["one", "two"] and parsed["a.ini"].imports == ["x.ini"]
+    assert (parsed["b.ini"].parse_status, parsed["b.ini"].symbols) == ("parse_error", []) and parsed["c.py"].parse_status == "ok"
+
+
 def test_cache_parses_only_what_changed(spark, tmp_path):
     root, cache = tmp_path / "src", ParseCache(spark, str(tmp_path / "cache"))
     write(root, {"a.py": "def a(): pass\n", "b.py": "def b(): pass\n", "c.js": "function c() {\n}\n"})
