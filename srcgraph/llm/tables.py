@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from srcgraph.session import cut, shared_folder
 
-__all__ = ["cut", "shared_folder", "table", "map_arrow", "parts", "labelled_sample", "held_out"]
+__all__ = ["cut", "held_out", "labelled_sample", "map_arrow", "parts", "shared_folder", "table"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Text bytes handled at once; a longer single text is one slice.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 U = np.uint64
 BASE, STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 TABLE = np.random.default_rng(20240517).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
