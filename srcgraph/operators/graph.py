@@ -1,7 +1,7 @@
 """Queries over edge tables (src, dst): degrees, cycles, reachability, components."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from srcgraph.operators.skew import salted_join
 from srcgraph.session import BROADCAST_ROWS, cut
@@ -13,6 +13,15 @@ def dependents(edges: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("dependents"))
 
 
+def neighbours(edges: DataFrame) -> DataFrame:
+    """(file_path, side, position, other): dependents and dependencies of each file in order, one row each."""
+    pairs = edges.where("src <> dst").select("src", "dst").distinct()
+    sides = pairs.select(F.col("dst").alias("file_path"), F.lit("dependents").alias("side"), F.col("src").alias("other")).unionByName(
+        pairs.select(F.col("src").alias("file_path"), F.lit("dependencies").alias("side"), F.col("dst").alias("other")))
+    order = Window.partitionBy("file_path", "side").orderBy("other")
+    return sides.withColumn("position", F.row_number().over(order))
+
+
 def monoliths(edges: DataFrame, minimum: int) -> DataFrame:
     return dependents(edges).where(F.col("dependents") >= minimum)
 
@@ -97,30 +106,34 @@ def blast_radius(edges: DataFrame) -> DataFrame:
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(grp, node) with undirected links (grp, a, b) -> (grp, node, component).
 
-    The component is named after its smallest node.  Alternates the two star
-    steps of Kiveris et al. (2014): each hangs neighbours on the smallest node
-    in sight, so chains shorten fast and no component is gathered in a task.
+    The component is named after its smallest node.  Each round hangs every
+    node on its smallest neighbour, follows these hooks to their roots, and
+    keeps only links between different roots, so settled parts leave the loop.
+    Hot roots are plain join keys, which adaptive execution splits.
     """
-    def flipped(frame):
-        return frame.unionByName(frame.select("grp", F.col("b").alias("a"), F.col("a").alias("b")))
-
-    def star(frame, larger: bool):
-        """frame: (grp, a, b) adjacency.  Hang the larger / smaller-or-equal side on the minimum."""
-        near = frame if larger else frame.where("b < a")
-        lowest = near.groupBy("grp", "a").agg(F.least("a", F.min("b")).alias("low"))
-        hung = salted_join(near, lowest, ["grp", "a"])
-        if larger:
-            pairs = hung.where("b > a").select("grp", F.col("b").alias("a"), F.col("low").alias("b"))
-        else:
-            pairs = hung.select("grp", F.explode(F.array("a", "b")).alias("a"), F.col("low").alias("b"))
-        return pairs.where("a <> b").distinct()
-
-    fingerprint = F.sum(F.xxhash64("grp", "a", "b").cast("decimal(38,0)")).alias("sum")
-    tree, state = cut(links.where("a <> b").select("grp", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), fingerprint)
-    previous = None
-    while state != previous:
-        previous = state
-        tree, state = cut(star(star(flipped(tree), True), False), fingerprint)
-    labels = tree.select("grp", F.col("a").alias("node"), F.col("b").alias("component"))
-    return nodes.select("grp", "node").join(labels, ["grp", "node"], "left").select(
-        "grp", "node", F.coalesce("component", "node").alias("component"))
+    def roots(frame: DataFrame, hooks: DataFrame, column: str) -> DataFrame:
+        named = hooks.select("grp", F.col("node").alias(column), F.col("root").alias("_root"))
+        return frame.join(named, ["grp", column], "left").withColumn(column, F.coalesce("_root", column)).drop("_root")
+
+    def ordered(frame: DataFrame) -> DataFrame:
+        return frame.where("a <> b").select("grp", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+    rest, seen = cut(ordered(links))
+    layers = []
+    while seen["n"]:
+        hooks, _ = cut(rest.groupBy("grp", F.col("a").alias("node")).agg(F.min("b").alias("root")))
+        while True:
+            above = hooks.select("grp", F.col("node").alias("root"), F.col("root").alias("top"))
+            hooks, state = cut(
+                hooks.join(above, ["grp", "root"], "left").select(
+                    "grp", "node", F.coalesce("top", "root").alias("root"), F.col("top").isNotNull().alias("moved")),
+                F.sum(F.col("moved").cast("long")).alias("moved"))
+            hooks = hooks.drop("moved")
+            if not state["moved"]:
+                break
+        layers.append(hooks)
+        rest, seen = cut(ordered(roots(roots(rest, hooks, "a"), hooks, "b")))
+    out = nodes.select("grp", "node", F.col("node").alias("component"))
+    for hooks in layers:
+        out = roots(out, hooks, "component")
+    return out.select("grp", "node", "component")

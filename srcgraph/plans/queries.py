@@ -519,6 +519,25 @@ def blast_radius(spark, folder):
 DEAD_LABEL_SQL = case_sql("lower(p_brand || '/' || p_name)", FILE_NAME_ROWS)
 
 
+NEIGHBOUR_SQL = f"""{PART_EDGE_SQL},
+    side AS (SELECT dst AS file_path, 'dependents' AS side, src AS other FROM edge UNION ALL SELECT src, 'dependencies', dst FROM edge),
+    near AS (SELECT *, row_number() OVER (PARTITION BY file_path, side ORDER BY other) AS position FROM side)"""
+
+
+@query("neighbours", f"WITH {NEIGHBOUR_SQL} SELECT file_path, side, position, other FROM near")
+def neighbours(spark, folder):
+    return graph.neighbours(part_edges(spark, folder)).withColumn("position", F.col("position").cast("long"))
+
+
+@query("neighbour_short_lists", f"""WITH {NEIGHBOUR_SQL}
+    SELECT file_path, side, string_agg(other, ',' ORDER BY position) FILTER (position <= 4) AS names, greatest(count(*) - 4, 0) AS more
+    FROM near GROUP BY file_path, side""")
+def neighbour_short_lists(spark, folder):
+    """The first four dependents and dependencies of each part and how many more there are."""
+    short = views.short_lists(graph.neighbours(part_edges(spark, folder)), ["file_path", "side"], "other")
+    return short.select("file_path", "side", F.array_join(F.col("names").cast("array<string>"), ",").alias("names"), "more")
+
+
 @query("dead_files", f"""WITH {PART_EDGE_SQL},
     tied AS (SELECT e.src AS node FROM edge e JOIN edge f ON f.src = e.dst AND f.dst = e.src)
     SELECT p_partkey AS file_path FROM part WHERE p_partkey NOT IN (SELECT node FROM tied)
@@ -844,8 +863,8 @@ def nesting_depth(spark, folder):
     SELECT file_path, CASE r WHEN 4 THEN 'Critical' WHEN 3 THEN 'High' WHEN 2 THEN 'Medium' ELSE 'Low' END AS heat, count(*) AS n_lines, max(line) AS last_line
     FROM hot GROUP BY 1, 2""")
 def line_heat(spark, folder):
-    return views.line_heat(model.score_symbols(line_symbols(spark, folder))).groupBy("file_path", "heat").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.max("line").cast("long").alias("last_line"))
+    return views.heat_runs(model.score_symbols(line_symbols(spark, folder))).groupBy("file_path", "heat").agg(
+        F.sum(F.col("line_end") - F.col("line_start") + 1).cast("long").alias("n_lines"), F.max("line_end").cast("long").alias("last_line"))
 
 
 @query("fuzzy_search", """WITH
