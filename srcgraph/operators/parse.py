@@ -1,8 +1,9 @@
 """Source text -> symbols, imports and line counts.
 
 One narrow pass without a shuffle.  For the ``regex`` languages the text work
-runs in JVM expressions whose patterns come from the language row; only small
-integer arrays go through Arrow to find block ends.
+runs in JVM expressions with one branch per registered language, so that its
+patterns are literals; only small integer arrays go through Arrow to find
+block ends.
 """
 from __future__ import annotations
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from srcgraph.functions.languages import AdapterRegistry
+from srcgraph.functions.languages import AdapterRegistry, Language
 from srcgraph.functions.trees import TREE_PARSERS, block_layout
 
 SYMBOL_TYPE = T.StructType([
@@ -47,6 +48,7 @@ LAYOUT_TYPE = T.StructType([
     T.StructField("high", T.ArrayType(T.IntegerType())),
     T.StructField("keep", T.ArrayType(T.BooleanType()))])
 
+DECLARED_TYPE = "array<struct<role:string,kind:string,calls:boolean,start:int,name:string>>"
 OTHER_BREAKS = "\u000b\f\u001c\u001d\u001e\u0085  "  # end a line as \n does
 HIT, END, BRANCH, OPEN, CLOSE = "\u0001", "\u0002", "\u0003", "\u0004", "\u0005"
 PARSED_COLUMNS = ["file_path", "adapter", "language", "line_count", "parse_status", "symbols",
@@ -102,53 +104,57 @@ def called_names(text: Column, pattern: str) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), 1))
 
 
-def import_strings(text: Column, rules: Column) -> Column:
-    """Raw imports, rule by rule and in text order within a rule."""
-    none = F.array().cast("array<string>")
+def by_language(languages: list[Language], value) -> Column:
+    """``value`` of the row's language.  Each branch has literal patterns, which Spark compiles once, not once per file."""
+    out = F
+    for language in languages:
+        out = out.when(F.col("adapter") == language.adapter, value(language))
+    return out.otherwise(F.lit(None)) if languages else F.lit(None)
 
-    def rewrite(raw, rule):
-        parts = F.filter(F.split(raw, F.concat(F.lit(r"\Q"), rule["separator"], F.lit(r"\E"))),
-                         lambda p: ~F.array_contains(rule["skip"], p))
-        return F.when(rule["separator"].isNull(), raw).otherwise(F.array_join(parts, "/"))
 
+def import_strings(text: Column, rules: list[dict]) -> Column:
+    """Raw imports, rule by rule and in text order within a rule."""
     def hits(rule):
-        outer = F.regexp_extract_all(text, rule["pattern"], 1)
-        inner = F.flatten(F.transform(outer, lambda block: F.regexp_extract_all(block, rule["inner"], 1)))
-        found = F.transform(F.when(rule["inner"].isNull(), outer).otherwise(inner),
-                            lambda raw: rewrite(raw, rule))
-        return F.filter(found, lambda raw: (raw != "")
-                        & ~F.coalesce(F.rlike(raw, rule["drop"]), F.lit(False)))
+        found = F.regexp_extract_all(text, F.lit(rule["pattern"]), 1)
+        if rule["inner"]:
+            found = F.flatten(F.transform(found, lambda block: F.regexp_extract_all(block, F.lit(rule["inner"]), 1)))
+        if rule["separator"]:
+            skipped = list(rule["skip"]) or ["\u0000"]
+            found = F.transform(found, lambda raw: F.array_join(F.filter(
+                F.split(raw, rf"\Q{rule['separator']}\E"), lambda p: ~p.isin(skipped)), "/"))
+        if rule["drop"]:
+            return F.filter(found, lambda raw: (raw != "") & ~F.rlike(raw, F.lit(rule["drop"])))
+        return F.filter(found, lambda raw: raw != "")
 
-    return F.coalesce(F.flatten(F.transform(rules, hits)), none)
+    return F.flatten(F.array(*map(hits, rules))) if rules else F.array().cast("array<string>")
 
 
-def declarations(text: Column, rules: Column, junk: Column) -> Column:
+def declarations(text: Column, language: Language) -> Column:
     """Every declaration hit with its 0-based line, in rule order then line order."""
-
     def hits(rule):
-        marked = F.regexp_replace(
-            text, rule["pattern"], F.concat(F.lit(HIT), rule["label"], F.lit(END), F.lit("$0")))
+        marked = F.regexp_replace(text, F.lit(rule["pattern"]), F.lit(f"{HIT}{rule['label']}{END}$0"))
         lines = F.transform(F.split(marked, "\n"), lambda l, i: F.struct(i.alias("line"), l.alias("text")))
         found = F.transform(
             F.filter(lines, lambda l: l["text"].contains(HIT)),
             lambda l: F.struct(
-                rule["role"].alias("role"), rule["kind"].alias("kind"), rule["calls"].alias("calls"),
+                F.lit(rule["role"]).alias("role"), F.lit(rule["kind"]).alias("kind"), F.lit(rule["calls"]).alias("calls"),
                 l["line"].alias("start"),
-                F.substring_index(F.substring_index(l["text"], END, 1), HIT, -1).alias("name")))
-        named = F.transform(found, lambda d: d.withField("name", clean_name(d, junk)))
-        return F.filter(named, lambda d: ~F.array_contains(rule["exclude"], d["name"]))
+                clean_name(F.substring_index(F.substring_index(l["text"], END, 1), HIT, -1), rule["kind"], language.name_junk).alias("name")))
+        return F.filter(found, lambda d: ~d["name"].isin(rule["exclude"])) if rule["exclude"] else found
 
-    return F.flatten(F.transform(rules, hits))
+    found = F.flatten(F.array(*map(hits, language.rules))) if language.rules else F.array()
+    found = found.cast(DECLARED_TYPE)
+    return drop_repeated(found) if any(r["role"] == "dedupe" for r in language.rules) else found
 
 
-def clean_name(declared: Column, junk: Column) -> Column:
-    plain = F.when(junk == "", declared["name"]).otherwise(F.regexp_replace(declared["name"], junk, F.lit("")))
-    typed = F.concat(F.substring_index(plain, " (", 1), F.lit(" ("),
-                     F.lower(F.substring_index(plain, " (", -1)))
-    return F.when(declared["kind"] == "ddl", typed).otherwise(plain)
+def clean_name(name: Column, kind: str, junk: str) -> Column:
+    plain = F.regexp_replace(name, F.lit(junk), F.lit("")) if junk else name
+    if kind != "ddl":
+        return plain
+    return F.concat(F.substring_index(plain, " (", 1), F.lit(" ("), F.lower(F.substring_index(plain, " (", -1)))
 
 
-def drop_repeated(declared: Column, rules: Column) -> Column:
+def drop_repeated(declared: Column) -> Column:
     """Drop ``dedupe`` declarations whose name an earlier declaration has."""
     keyed = F.array_sort(F.transform(declared, lambda d, i: F.struct(d["name"].alias("name"), i.alias("at"), d.alias("d"))))
     kept = F.filter(
@@ -157,8 +163,7 @@ def drop_repeated(declared: Column, rules: Column) -> Column:
             ((k["d"]["role"] == "dedupe")
              & F.coalesce(F.get(keyed, i - 1)["name"] == k["name"], F.lit(False))).alias("drop"))),
         lambda k: ~k["drop"])
-    cleaned = F.transform(F.array_sort(F.transform(kept, lambda k: F.struct(k["at"].alias("at"), k["d"].alias("d")))), lambda k: k["d"])
-    return F.when(F.exists(rules, lambda r: r["role"] == "dedupe"), cleaned).otherwise(declared)
+    return F.transform(F.array_sort(F.transform(kept, lambda k: F.struct(k["at"].alias("at"), k["d"].alias("d")))), lambda k: k["d"])
 
 
 @F.arrow_udf(LAYOUT_TYPE)
@@ -194,40 +199,51 @@ def status(parsed: Column) -> Column:
     return F.when(F.col("unread"), F.lit("io_error")).otherwise(parsed).alias("parse_status")
 
 
-def parse_regex(files: DataFrame) -> DataFrame:
-    """Files joined with their language row -> parsed rows."""
-    statement = F.col("block_mode") == "statement"
-    special = F.when(statement, F.lit(";")).otherwise(F.lit("=>"))
+def parse_regex(files: DataFrame, languages: list[Language]) -> DataFrame:
+    """Files (file_path, adapter, text, unread) of these languages -> parsed rows."""
     # Text-wide passes put a mark before what is counted per line afterwards.
-    branched = F.regexp_replace("text", F.col("branch"), F.lit(f"{BRANCH}$0"))
-    called = F.regexp_replace(branched, F.col("call"), F.lit(f"{HIT}$1{END}"))
-    marked = F.when(statement, F.regexp_replace(F.regexp_replace(
-        called, F.col("opener"), F.lit(f"{OPEN}$0")), F.col("nest_closer"), F.lit(f"{CLOSE}$0"))).otherwise(called)
-    opener = F.when(statement, F.lit(OPEN)).otherwise(F.lit("{"))
-    closer = F.when(statement, F.lit(CLOSE)).otherwise(F.lit("}"))
-
-    def line_facts(l):
-        pieces = F.split(l, HIT)
-        calls = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda p: F.substring_index(p, END, 1))
-        closes = count_char(l, closer)
-        return F.struct(
-            count_char(l, opener).alias("opens"),
-            # A nest closer that does not end a block, such as COMMIT, only counts for nesting.
-            F.when(statement, count(l, F.col("closer"))).otherwise(closes).alias("closes"),
-            closes.alias("nest_closes"), count_char(l, F.lit(BRANCH)).alias("branches"), l.contains(special).alias("mark"),
-            F.when(l.contains(HIT), calls).otherwise(F.array().cast("array<string>")).alias("calls"))
-
+    def marked(language):
+        called = F.regexp_replace(F.regexp_replace("text", F.lit(language.branch), F.lit(f"{BRANCH}$0")),
+                                  F.lit(language.call), F.lit(f"{HIT}$1{END}"))
+        if language.block_mode != "statement":
+            return called
+        opened = F.regexp_replace(called, F.lit(language.opener), F.lit(f"{OPEN}$0"))
+        return F.regexp_replace(opened, F.lit(language.nest_closer), F.lit(f"{CLOSE}$0"))
+
+    def line_facts(language):
+        statement = language.block_mode == "statement"
+        opener, closer = (OPEN, CLOSE) if statement else ("{", "}")
+
+        def facts(l):
+            pieces = F.split(l, HIT)
+            calls = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda p: F.substring_index(p, END, 1))
+            closes = count_char(l, F.lit(closer))
+            return F.struct(
+                count_char(l, F.lit(opener)).alias("opens"),
+                # A nest closer that does not end a block, such as COMMIT, only counts for nesting.
+                (count(l, language.closer) if statement else closes).alias("closes"),
+                closes.alias("nest_closes"), count_char(l, F.lit(BRANCH)).alias("branches"),
+                l.contains(";" if statement else "=>").alias("mark"),
+                F.when(l.contains(HIT), calls).otherwise(F.array().cast("array<string>")).alias("calls"))
+        return facts
+
+    kinds: dict[str, list[Language]] = {}
+    for language in languages:
+        kinds.setdefault((language.closer if language.block_mode == "statement" else ""), []).append(language)
+    facts = F
+    for same in kinds.values():
+        facts = facts.when(F.col("adapter").isin([l.adapter for l in same]),
+                           F.transform(split_lines(F.col("marked")), line_facts(same[0])))
     read = files.withColumn("text", F.translate("text", HIT + END + BRANCH + OPEN + CLOSE, "\u0006" * 5))
     # Staged as columns of their own, or every use would run the patterns again.
-    found = read.withColumn("marked", one_break(marked)).select(
-        "file_path", "adapter", "language", "unread", "block_mode", "rules",
-        import_strings(F.col("text"), F.col("imports")).alias("imports"),
-        declarations(F.col("text"), F.col("rules"), F.col("name_junk")).alias("declared"),
-        F.transform(split_lines(F.col("marked")), line_facts).alias("lines"))
-    lined = found.withColumn("declared", drop_repeated(F.col("declared"), F.col("rules"))).drop("rules")
+    lined = read.withColumn("marked", one_break(by_language(languages, marked))).select(
+        "file_path", "adapter", "language", "unread",
+        by_language(languages, lambda l: F.lit(l.block_mode)).alias("block_mode"),
+        by_language(languages, lambda l: import_strings(F.col("text"), l.imports)).alias("imports"),
+        by_language(languages, lambda l: declarations(F.col("text"), l)).alias("declared"),
+        facts.otherwise(F.lit(None)).alias("lines"))
     laid = lined.select(
         "*",
-        F.transform("lines", lambda l: l["opens"] - l["closes"]).alias("net"),
         layout_blocks(
             "block_mode",
             F.transform("lines", lambda l: l["opens"] - l["closes"]),
@@ -293,10 +309,10 @@ def parse_regex(files: DataFrame) -> DataFrame:
         F.array().cast(T.ArrayType(REFERENCE_TYPE)).alias("references"))
 
 
-def parse_tree_files(files: DataFrame, parsers: dict = TREE_PARSERS) -> DataFrame:
-    parsed = files.select("file_path", "adapter", "language", "unread", "engine",
-                          import_strings(F.col("text"), F.col("imports")).alias("by_rule"),
-                          tree_parser(parsers)("engine", "text").alias("t"))
+def parse_tree_files(files: DataFrame, languages: list[Language], parsers: dict = TREE_PARSERS) -> DataFrame:
+    parsed = files.select("file_path", "adapter", "language", "unread",
+                          by_language(languages, lambda l: import_strings(F.col("text"), l.imports)).alias("by_rule"),
+                          tree_parser(parsers)(by_language(languages, lambda l: F.lit(l.engine)), "text").alias("t"))
     return parsed.select(
         "file_path", "adapter", "language",
         F.when(F.col("unread"), F.lit(0)).otherwise(F.col("t.line_count")).alias("line_count"),
@@ -313,16 +329,19 @@ def parse_files(files: DataFrame, registry: AdapterRegistry | None = None,
     which saves its scan.
     """
     registry = registry or AdapterRegistry()
-    regex = [l.adapter for l in registry.languages() if l.engine == "regex"]
-    tree = [l.adapter for l in registry.languages() if l.engine != "regex"]
-    dim = registry.frame(files.sparkSession)
-    base = files.select("file_path", "adapter", F.coalesce("text", F.lit("")).alias("text"), F.col("text").isNull().alias("unread"))
+    regex = [l for l in registry.languages() if l.engine == "regex"]
+    tree = [l for l in registry.languages() if l.engine != "regex"]
+
+    def of(languages):
+        base = files.where(F.col("adapter").isin([l.adapter for l in languages]))
+        return base.select("file_path", "adapter", by_language(languages, lambda l: F.lit(l.language)).alias("language"),
+                           F.coalesce("text", F.lit("")).alias("text"), F.col("text").isNull().alias("unread"))
+
     branches = []
     if "regex" in engines:
-        branches.append(parse_regex(base.where(F.col("adapter").isin(regex)).join(F.broadcast(dim), "adapter")))
+        branches.append(parse_regex(of(regex), regex))
     if "tree" in engines:
-        branches.append(parse_tree_files(base.where(F.col("adapter").isin(tree)).join(F.broadcast(dim), "adapter"),
-                                         {**TREE_PARSERS, **registry.parsers}))
+        branches.append(parse_tree_files(of(tree), tree, {**TREE_PARSERS, **registry.parsers}))
     out = branches[0]
     for other in branches[1:]:
         out = out.unionByName(other)

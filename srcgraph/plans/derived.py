@@ -55,8 +55,11 @@ TEMPLATES = {
     "python": Template("py", "Python", "from acme.m{k} import a", "def {n}(a):", None, "if a:", None, "helper_{i}(a)",
                        raw="acme.m{k}", base_nesting=0, end_newline=1),
     "css": Template("css", "CSS", '@import "m{k}.css";', ".{n} {", "}", None, None, "color: red;", raw="m{k}.css",
-                    kind="css_rule", symbol=".{n}", base_nesting=0, before=["* {", "margin: 0;", "}"]),
+                    kind="css_rule", symbol=".{n}", base_nesting=0,
+                    before=["* {", "margin: 0;", "}", "/* .no{a:b} */ .one{c:'}'} @media print{.two{e:f;}}"]),
 }
+# Rules of the lines before the items of a style sheet: name, first and last line after the imports, semicolons.
+CSS_BEFORE = [("*", 1, 3, 1), (".one", 4, 4, 0), (".two", 4, 4, 1)]
 ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
 CALLS = "(cast(l_quantity as int) % 3 + 1)"
 NAME = "concat('fn_', l_partkey, '_', l_suppkey)"
@@ -151,6 +154,11 @@ def symbols_sql(adapter: str) -> str:
     rows = f"""
       SELECT file_path, {symbol} AS name, '{t.kind}' AS kind, line_start, line_end,
              d + {t.base_nesting} AS nesting_depth, {branches} AS branch_count, {calls} AS n_calls FROM item"""
+    if css:
+        rows += "".join(f"""
+      UNION ALL
+      SELECT file_path, '{name}', 'css_rule', any_value(n_items) + {a}, any_value(n_items) + {z}, 0, {parts}, 0
+      FROM item GROUP BY file_path""" for name, a, z, parts in CSS_BEFORE)
     if deeper:
         rows += """
       UNION ALL

@@ -928,6 +928,9 @@ def project_sql() -> str:
         branches, calls = ("c", "0") if css else ("d", f"c + {t.calls_itself}")
         extra = len(t.before) + len(t.after) + t.end_newline
         rows = f"""SELECT file_path, {score_sql("len", f"d + {t.base_nesting}", branches, calls)} AS s, len, n_items FROM item"""
+        if css:
+            rows += "".join(f""" UNION ALL SELECT file_path, {score_sql(str(z - a + 1), "0", str(parts_), "0")}, 0, any_value(n_items) FROM item GROUP BY file_path"""
+                            for _, a, z, parts_ in derived.CSS_BEFORE)
         if t.after:
             rows += f""" UNION ALL SELECT file_path, {score_sql("sum(len) + 2", "max(d) + 2", "sum(d)", "0")}, 0, any_value(n_items) FROM item GROUP BY file_path"""
         parts.append(f"""SELECT file_path, '{t.language}' AS language, count(*) AS symbol_count, any_value(n_items) + sum(len) + {extra} AS line_count,
