@@ -644,7 +644,7 @@ def clusters(spark, folder):
 @query("split_clusters", f"""WITH RECURSIVE {CLUSTER_SQL}
     SELECT * FROM cluster WHERE file_path IN (SELECT file_path FROM cluster GROUP BY 1 HAVING count(*) >= 2)""")
 def split_clusters(spark, folder):
-    return clusters(spark, folder).drop("first_ord")
+    return clusters(spark, folder).drop("first_ord", "members")
 
 
 @query("split_candidates", f"""WITH RECURSIVE {CLUSTER_SQL}
