@@ -35,6 +35,8 @@ from pyspark.sql import DataFrame, functions as F
 from srcgraph.llm.tables import cut, shared_folder
 
 SPLIT_BYTES = 4 << 20
+# Read tasks; with more ranges than that a task has several.
+MOST_TASKS = 50_000
 MAGIC = b"\x1f\x8b\x08"
 HEAD = b"WARC/1."
 READ_SCHEMA = ("page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, "
@@ -217,8 +219,9 @@ def read(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
                             rows, held = [], 0
                 if rows:
                     yield batch_of(rows)
-    todo = ranges(files, split_bytes)
-    return todo.repartition(F.col("path"), F.col("begin")).mapInArrow(scan, READ_SCHEMA)
+    # the rows are tiny and the work behind them is not, so the number of tasks is fixed by hand
+    tasks = files.agg(F.sum(F.ceil(F.col("size") / split_bytes))).first()[0] or 1
+    return ranges(files, split_bytes).repartition(min(int(tasks), MOST_TASKS), "path", "begin").mapInArrow(scan, READ_SCHEMA)
 
 
 def located(path: str) -> tuple[fs.FileSystem, str]:
