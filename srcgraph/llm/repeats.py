@@ -29,7 +29,7 @@ from srcgraph.llm.tables import cut, parts
 from srcgraph.llm.words import STEP, Texts, U, mix, powers, slices
 
 PLACE_BITS = U(28)
-FLUSH = 500_000
+FLUSH = 1_000_000
 ASK, DONE, OPEN = 0, 1, 2
 ROWS = "bucket int, kind int, a binary, b binary, c binary, d binary, e binary"
 NAMES = ["bucket", "kind", "a", "b", "c", "d", "e"]
