@@ -10,7 +10,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from srcgraph.llm.tables import map_arrow
+from srcgraph.llm.tables import cut, map_arrow
 from srcgraph.llm.tokens import default_path, encoder
 
 # Lengths summed together before the sums over longer lengths, so that no window holds all of them.
@@ -42,6 +42,7 @@ def limits(hist: DataFrame) -> DataFrame:
     tokens_lost what it cuts, and share the part of documents that fit: the
     quantile q of the lengths is the least limit whose share is at least q.
     """
+    hist, _ = cut(hist)  # it is read twice below
     sized = hist.withColumn("span", F.floor(F.col("n_tokens") / SPAN)).withColumn("tokens", F.col("n_tokens") * F.col("docs"))
     spans = sized.groupBy("span").agg(F.sum("docs").alias("d"), F.sum("tokens").alias("t"))
     later = Window.orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, -1)
