@@ -131,7 +131,8 @@ def settle_segments(h, s, doc, start, count, flag):
     edge = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
     several = np.add.reduceat(new[left].astype(int), edge) > 1
     mixed = several & (np.minimum.reduceat(d, edge) != np.maximum.reduceat(d, edge))
-    mixed |= np.maximum.reduceat(flag[order][left].astype(int), edge) > 0
+    # a repeat that goes may be the one that speaks for a task's other open segments
+    mixed |= np.maximum.reduceat(flag[order].astype(int), np.flatnonzero(new_h)) > 0
     group = np.cumsum(np.concatenate([[True], a[1:] != a[:-1]])) - 1
     is_open = mixed[group]
     # the entry of the least document speaks for its anchor

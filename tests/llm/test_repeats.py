@@ -6,7 +6,8 @@ import pytest
 from cases import awkward, removed, table, words
 
 from srcgraph.llm import phrases, suffixes
-from srcgraph.llm.words import Texts, slices
+from srcgraph.llm.repeats import Hasher
+from srcgraph.llm.words import TABLE, Texts, hashes_of, slices
 
 
 def test_phrases_match_a_dictionary_of_windows(spark):
@@ -56,6 +57,31 @@ def test_a_passage_in_every_document(spark):
     assert got == want
 
 
+def apart(spark, rows):
+    """The first document in one task, the others in another."""
+    return spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
+
+
+def test_an_open_anchor_spoken_for_by_a_repeat(spark):
+    """Document 3 holds two segments around one anchor; 5 and 7 of another task repeat one each."""
+    rng = random.Random(5)
+    own = lambda k: ["".join(rng.choices("abcdefgh", k=6)) for _ in range(k)]
+    gram = min((own(5) for _ in range(5000)), key=lambda g: Hasher(hashes_of([w.encode() for w in g])).of([0], [5])[0])
+    one, two = (" ".join(own(8) + gram + own(8)) for _ in range(2))
+    rows = [(3, " ".join([one, *own(30), two])), (5, one), (7, two)]
+    want = removed(rows, words, 13, b" ".join)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in phrases.digest(phrases.removed(apart(spark, rows))).collect()}
+    assert want[5][1] == want[7][1] == 21 and got == {i: (n, m, h) for i, (n, m, _, h) in want.items()}
+
+    own = lambda k: "".join(rng.choices("abcdefgh", k=k))
+    gram = min((own(20) for _ in range(5000)), key=lambda g: Hasher(TABLE[np.frombuffer(g.encode(), np.uint8)]).of([0], [20])[0])
+    one, two = (own(30) + gram + own(30) for _ in range(2))
+    rows = [(3, one + own(100) + two), (5, one), (7, two)]
+    want = removed(rows, lambda t: t.encode(), 50, bytes)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.digest(suffixes.removed(apart(spark, rows))).collect()}
+    assert want[5][1] == want[7][1] == 80 and got == want
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_suffix_order_is_the_order_of_suffixes(seed):
     """Dictionary and parse ranks order all suffixes of all stretches as sorting them does."""
