@@ -43,8 +43,11 @@ class Items:
     def __init__(self, rows: list[tuple[int, str]], radius: int = RADIUS):
         self.radius = radius
         self.items = []
-        for item, text in sorted((r for r in rows if r[1]), key=lambda r: (r[0] is None, r[0] or 0, r[1])):
-            words = [w.encode() for w in TOKEN.findall(text.lower())]
+        rows = sorted((r for r in rows if r[1]), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        # the documents' lower case, which is not Python's for every character
+        lower = pc.utf8_lower(pa.array([r[1] for r in rows], pa.large_string())).to_pylist()
+        for (item, _), text in zip(rows, lower):
+            words = [w.encode() for w in TOKEN.findall(text)]
             if words:
                 h = hashes_of(words)
                 k = min(SHINGLE, len(h))

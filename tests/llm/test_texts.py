@@ -115,6 +115,14 @@ def test_windows_match_a_scan_of_all(spark):
     assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-12 for k in want)
 
 
+def test_items_and_documents_share_one_lower_case(spark):
+    for text in ("İstanbul", "ΟΔΟΣ"):
+        item = " ".join([*(f"a{i}" for i in range(9)), text, *(f"b{i}" for i in range(10))])
+        bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+        got = decontaminate.leaks(table(spark, [(0, f"x y {item} z"), (1, f"x y {item.lower()[:20]} z")]), bench).collect()
+        assert [(r.doc_id, r.item_id, r.start_word, r.similarity) for r in got] == [(0, 1, 2, 1.0)], text
+
+
 def test_blocks_find_all_within_the_radius():
     items = decontaminate.Items([(i, " ".join(f"a{i}b{j}" for j in range(20))) for i in range(30)], radius=9)
     rng = np.random.default_rng(1)
