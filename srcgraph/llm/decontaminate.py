@@ -11,7 +11,9 @@ minima over sum of maxima of term frequency times the item-side rarity weight)
 then decides, exactly.
 
 The benchmark table goes to the workers only below ``MAX_ITEM_BYTES`` a chunk;
-a larger one is taken in chunks, one pass over the documents each.  Null and
+a larger one is taken in chunks, one pass over the documents each.  Rarity
+weights are those of the whole benchmark whatever the chunks; a shingle of one
+item or none has the largest, so only repeated ones are sent.  Null and
 empty items and texts match nothing.  Items of equal text are all reported, as
 are repeated rows; of equally similar windows the first is named.
 """
@@ -26,7 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from srcgraph.llm.tables import map_arrow
+from srcgraph.llm.tables import cut, map_arrow
 from srcgraph.llm.words import STEP, Runs, Texts, U, hashes_of, mix, slices, windows
 
 SHINGLE = 5
@@ -37,25 +39,34 @@ SCHEMA = "doc_id long, item_id long, start_word long, n_words long, hamming int,
 TOKEN = re.compile(r"[0-9a-z\u0080-\U0010ffff]+")
 
 
+def shingled(texts: pa.Array):
+    """(number of words, shingle length, shingles) of each text; None without words."""
+    # the documents' lower case, which is not Python's for every character
+    for text in pc.utf8_lower(texts).to_pylist():
+        words = [w.encode() for w in TOKEN.findall(text)]
+        if not words:
+            yield None
+            continue
+        h = hashes_of(words)
+        k = min(SHINGLE, len(h))
+        yield len(h), k, windows(h, np.array([0, len(h)]), k)[1]
+
+
 class Items:
-    """Benchmark items ready for look-up."""
+    """Benchmark items ready for look-up; ``counts`` has the items and the repeated shingles of the benchmark they are part of."""
 
-    def __init__(self, rows: list[tuple[int, str]], radius: int = RADIUS):
+    def __init__(self, rows: list[tuple[int, str]], radius: int = RADIUS, counts: tuple[int, np.ndarray, np.ndarray] | None = None):
         self.radius = radius
         self.items = []
         rows = sorted((r for r in rows if r[1]), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        # the documents' lower case, which is not Python's for every character
-        lower = pc.utf8_lower(pa.array([r[1] for r in rows], pa.large_string())).to_pylist()
-        for (item, _), text in zip(rows, lower):
-            words = [w.encode() for w in TOKEN.findall(text)]
-            if words:
-                h = hashes_of(words)
-                k = min(SHINGLE, len(h))
-                at, grams = windows(h, np.array([0, len(h)]), k)
-                self.items.append((item, len(h), k, grams))
-        seen = Counter(g for _, _, _, grams in self.items for g in set(grams.tolist()))
-        n = max(1, len(self.items))
-        self.weight = {g: 1 + math.log(n / c) for g, c in seen.items()}
+        for (item, _), found in zip(rows, shingled(pa.array([r[1] for r in rows], pa.large_string()))):
+            if found:
+                self.items.append((item, *found))
+        if counts is None:
+            each = [np.unique(grams) for _, _, _, grams in self.items]
+            counts = len(each), *np.unique(np.concatenate([np.empty(0, U), *each]), return_counts=True)
+        n = max(1, counts[0])
+        self.known, self.weight = counts[1], 1 + np.log(n / counts[2])
         self.rare = 1 + math.log(n)
         pairs = sorted((g, i, o) for i, (_, _, _, grams) in enumerate(self.items) for o, g in enumerate(grams.tolist()))
         self.sizes = sorted({k for _, _, k, _ in self.items})
@@ -72,10 +83,16 @@ class Items:
             value = (self.prints >> shift) & mask
             self.index.append({v: set(np.flatnonzero(value == v).tolist()) for v in np.unique(value).tolist()})
 
+    def weights(self, grams: np.ndarray) -> np.ndarray:
+        if not len(self.known):
+            return np.full(len(grams), self.rare)
+        at = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
+        return np.where(self.known[at] == grams, self.weight[at], self.rare)
+
     def fingerprints(self, grams: np.ndarray, length: int) -> np.ndarray:
         """SimHash of every run of ``length`` shingles: signs of weighted bit sums, by prefix sums."""
         bits = ((mix(grams ^ U(STEP))[:, None] >> np.arange(64, dtype=U)) & U(1)).astype(np.int8)
-        weight = np.array([self.weight.get(g, self.rare) for g in grams.tolist()])
+        weight = self.weights(grams)
         total = np.zeros((len(grams) + 1, 64))
         np.cumsum((2.0 * bits - 1) * weight[:, None], axis=0, out=total[1:])
         positive = (total[length:] - total[:-length]) > 1e-9
@@ -95,9 +112,10 @@ class Items:
 
     def similarity(self, window: list[int], item: int) -> float:
         one, two = Counter(window), Counter(self.items[item][3].tolist())
-        w = lambda g: self.weight.get(g, self.rare)
-        low = math.fsum(w(g) * min(c, two[g]) for g, c in one.items() if g in two)
-        high = math.fsum(w(g) * max(one[g], two[g]) for g in one.keys() | two.keys())
+        both = list(one.keys() | two.keys())
+        w = dict(zip(both, self.weights(np.array(both, U)).tolist()))
+        low = math.fsum(w[g] * min(c, two[g]) for g, c in one.items() if g in two)
+        high = math.fsum(w[g] * max(one[g], two[g]) for g in both)
         return low / high
 
     def matches(self, hashes: np.ndarray, hits: np.ndarray, item: int, similarity: float) -> list[tuple[int, int, float]]:
@@ -160,11 +178,31 @@ def chunks(benchmark: DataFrame, limit: int = MAX_ITEM_BYTES):
         yield held
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def repeated_shingles(benchmark: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of items with words, the shingles of two items or more, and how many items hold each."""
+    def each(batch):
+        found = [np.unique(x[2]) for x in shingled(batch.column(0)) if x]
+        if found:
+            # one null per item, so that the same count tells the number of items
+            yield pa.record_batch([pa.concat_arrays([pa.nulls(len(found), pa.int64()), pa.array(np.concatenate(found).view(np.int64))])], ["gram"])
+
+    counts = (map_arrow(benchmark.where("text IS NOT NULL").select("text"), each, "gram long").groupBy("gram").count()
+              .where("gram IS NULL OR count > 1").toArrow())
+    items = pc.is_null(counts["gram"])
+    total = pc.sum(counts["count"].filter(items)).as_py() or 0
+    counts = counts.filter(pc.invert(items))
+    gram, many = counts["gram"].to_numpy().view(U), counts["count"].to_numpy()
+    order = np.argsort(gram)
+    return total, gram[order], many[order]
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS,
+          limit: int = MAX_ITEM_BYTES) -> DataFrame:
     """One row per document, item and separate place: the best window there."""
     out = docs.sparkSession.createDataFrame([], SCHEMA)
-    for rows in chunks(benchmark):
-        items = Items(rows, radius)
+    counts = repeated_shingles(benchmark)
+    for rows in chunks(benchmark, limit):
+        items = Items(rows, radius, counts)
         if not items.items:
             continue
 
@@ -178,7 +216,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
                         [ids.take(pa.array(text)), pa.array(item, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64()),
                          pa.array(gap, pa.int32()), pa.array(s, pa.float64())],
                         ["doc_id", "item_id", "start_word", "n_words", "hamming", "similarity"])
-        out = out.unionByName(map_arrow(docs.select("doc_id", "text"), find, SCHEMA))
+        # written at once, so that the driver holds one chunk's index at a time
+        out = out.unionByName(cut(map_arrow(docs.select("doc_id", "text"), find, SCHEMA))[0])
     return out
 
 

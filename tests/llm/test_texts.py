@@ -123,6 +123,17 @@ def test_items_and_documents_share_one_lower_case(spark):
         assert [(r.doc_id, r.item_id, r.start_word, r.similarity) for r in got] == [(0, 1, 2, 1.0)], text
 
 
+def test_chunks_do_not_change_similarities(spark):
+    rng = random.Random(8)
+    vocabulary = [f"word{i}" for i in range(200)]
+    common = rng.choices(vocabulary, k=25)
+    items = [(i, " ".join(common + rng.choices(vocabulary, k=8))) for i in range(12)] + [(20, " ".join(rng.choices(vocabulary, k=30)))]
+    rows = [(i, " ".join(["x", *t.split()[:-1], "changed", "y"])) for i, t in items]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole, parts = (sorted(map(tuple, decontaminate.leaks(table(spark, rows), bench, 0.5, 64, limit).collect())) for limit in (1 << 20, 300))
+    assert len(whole) >= len(items) and parts == whole
+
+
 def test_blocks_find_all_within_the_radius():
     items = decontaminate.Items([(i, " ".join(f"a{i}b{j}" for j in range(20))) for i in range(30)], radius=9)
     rng = np.random.default_rng(1)
