@@ -6,9 +6,11 @@ as long as a benchmark item and shares a shingle with it gets a 64-bit SimHash;
 windows without a common shingle have similarity 0 and need none.  A
 multi-index over blocks of the fingerprint, one block more than the radius,
 finds every item fingerprint within the radius: equal in all but ``RADIUS``
-bits means equal in at least one block.  Weighted shingle similarity (sum of
-minima over sum of maxima of term frequency times the item-side rarity weight)
-then decides, exactly.
+bits means equal in at least one block.  Where rare shingles changed, similar
+windows lie outside the radius, so those that can reach the similarity by the
+weight of the shingles they share go on as well.  Weighted shingle similarity
+(sum of minima over sum of maxima of term frequency times the item-side rarity
+weight) then decides, exactly: no window at or over it is lost.
 
 The benchmark table goes to the workers only below ``MAX_ITEM_BYTES`` a chunk;
 a larger one is taken in chunks, one pass over the documents each.  Rarity
@@ -107,6 +109,18 @@ class Items:
                     candidate |= ((prints >> shift) & mask) == value
         return candidate & (self.distance(prints, item) <= self.radius)
 
+    def reach(self, grams: np.ndarray, item: int, similarity: float) -> np.ndarray:
+        """Which windows of the item's length may have the similarity: at most all shingles that the item holds count as shared."""
+        own = self.items[item][3]
+        weight, m = self.weights(grams), len(own)
+
+        def sums(x):
+            total = np.concatenate([[0.0], np.cumsum(x)])
+            return total[m:] - total[:-m]
+        mine = self.weights(own).sum()
+        shared = np.minimum(sums(np.where(np.isin(grams, own), weight, 0.0)), mine)
+        return shared >= similarity * (mine + sums(weight) - shared) - 1e-6
+
     def distance(self, prints: np.ndarray, item: int) -> np.ndarray:
         return np.bitwise_count(prints ^ self.prints[item]).astype(int)
 
@@ -130,7 +144,7 @@ class Items:
             _, local = windows(hashes[first:last + n], np.array([0, last + n - first]), k)
             prints = self.fingerprints(local, m)
             best = None
-            for i in np.flatnonzero(self.near(prints, item)).tolist():
+            for i in np.flatnonzero(self.near(prints, item) | self.reach(local, item, similarity)).tolist():
                 s = self.similarity(local[i:i + m].tolist(), item)
                 if s >= similarity and (best is None or s > best[2]):
                     best = (first + i, int(self.distance(prints[i:i + 1], item)[0]), s)

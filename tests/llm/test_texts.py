@@ -134,6 +134,16 @@ def test_chunks_do_not_change_similarities(spark):
     assert len(whole) >= len(items) and parts == whole
 
 
+def test_rare_endings_of_a_common_template_are_found(spark):
+    """Items that differ in the last word only: similarity 0.85 by weight, but fingerprints far apart."""
+    template = " ".join(f"word{i}" for i in range(69))
+    items = [(i, f"{template} end{i}") for i in range(100)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.leaks(table(spark, [(1, f"{template} other")]), bench).collect()
+    assert sorted(r.item_id for r in got) == [i for i, _ in items]
+    assert all(0.8 < r.similarity < 0.9 for r in got) and max(r.hamming for r in got) > decontaminate.RADIUS
+
+
 def test_blocks_find_all_within_the_radius():
     items = decontaminate.Items([(i, " ".join(f"a{i}b{j}" for j in range(20))) for i in range(30)], radius=9)
     rng = np.random.default_rng(1)
