@@ -5,7 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from srcgraph.llm import decontaminate, langid, lengths, minhash, packing, phrases, quality, suffixes, toxicity, warc
+from srcgraph.llm import (decontaminate, langid, lengths, minhash, packing, phrases, pieces, quality, suffixes, toxicity,
+                          warc, whitening)
 from srcgraph.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,6 +72,16 @@ def op3_suffixes(spark, folder):
     return suffixes.digest(suffixes.removed(table(spark, folder, "documents")))
 
 
+@query
+def op11_whitening(spark, folder):
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+@query
+def op13_pieces(spark, folder):
+    return pieces.round_trip(table(spark, folder, "documents"))
+
+
 def base32_sql(hexadecimal: str) -> str:
     """Base32 of 40 hexadecimal digits: five digits are four letters."""
     letters = []
