@@ -104,9 +104,9 @@ ORACLES["op9_warc"] = f"""
            CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to FROM q"""
 
 CRC32_SQL = """xor(4294967295, list_reduce(
-    list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), x -> ord(x)::BIGINT)),
-    (a, b) -> list_reduce(list_concat([xor(a, b)], range(8)),
-                          (v, i) -> CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)))"""
+    list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+    lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)),
+                          lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)))"""
 
 ORACLES["op12_prefix_trie"] = f"""
     WITH own AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS turns,
