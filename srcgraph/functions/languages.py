@@ -85,27 +85,69 @@ class Language:
     nest_closer: str = r"\}"
     name_junk: str = ""
     block_mode: str = "brace"
+    mark: Mark | None = None
 
     @property
     def call(self) -> str:
         excluded = "|".join(self.call_exclude.split())
         guard = f"(?!(?{self.call_flags}:{excluded})(?![{self.name_chars}]))" if excluded else ""
-        return rf"(?U)\b{guard}([{self.name_chars}]+)(?=\s*\()"
+        if "." in self.name_chars:  # one attempt per run of name characters
+            return rf"(?U)(?<![{self.name_chars}])\.*+{guard}([{self.name_chars}]++)(?=\s*+\()"
+        return rf"(?U)\b{guard}([{self.name_chars}]++)(?=\s*+\()"
 
     def row(self) -> tuple:
         values = {**self.__dict__, "skip_dirs": self.skip_dirs.split(), "call": self.call}
         return tuple(values[f.name] for f in LANGUAGE_SCHEMA.fields)
 
 
-# --- fixed values: vocabularies and text patterns per language ---------------
-# A run of type tokens before a name.  Possessive, and a token may not stand
-# right before "(", so matching is linear and the name is never swallowed.  The
-# bound on tokens keeps the matcher's stack small on generated lines.
-def typed(chars: str, least: int) -> str:
-    return rf"(?:[{chars}]++\s++(?!\()){{{least},16}}+"
+# --- linear patterns ---------------------------------------------------------
+# Every declaration pattern is tried once per line start and must not read the
+# same text again from the next one.  What a pattern may read far ahead of its
+# line is therefore either consumed even where it leads to no declaration (a run
+# of type tokens or modifiers, parameters up to their closing parenthesis: no
+# declaration inside them could end differently), or marked beforehand (``Mark``).
+# Hits without a name are no declarations.
+GOOD = "\u0007"  # a mark of ``Mark``; texts do not hold it
+
+
+@dataclass(frozen=True)
+class Mark:
+    """Put GOOD after every ``opener`` whose next ``closer`` is followed by ``follow``, and after that closer."""
+    closer: str
+    follow: str
+    opener: str
+
+
+def tokens(chars: str) -> str:
+    """A type token and the blanks after it, not the name before a parenthesis."""
+    return rf"(?:[{chars}]++\s++(?!\())"
+
 
+def modifiers(before: str, kinds: str, after: str, both: str | None = None) -> str:
+    """A run of modifiers from a line start, then a declaration of one of the kinds.
 
-C_QUALIFIERS = r"(?:\s*+(?:const|noexcept|override|final)){0,8}+\s*+(?::[^{]*+)?\{"
+    ``both`` is a word that is a modifier and a kind: if no kind follows the run,
+    the last one that a word follows names the declaration, in group 2.
+    """
+    words_before = f"{before}|{both}" if both else before
+    run = rf"(?:(?:{words_before})\s++)"
+    last = rf"|(?:(?:(?:{before})\s++)*+{both}\s++(?=\w))++{after}" if both else ""
+    return rf"^[ \t]*+(?=(?:{words_before}|{kinds})\s)(?:{run}*+(?:{kinds})\s++{after}{last}|{run}++)"
+
+
+def called_with(name: str, suffix: str, skip: str = "") -> str:
+    """``name(parameters) suffix``, else what may be left out: the name and its parameters."""
+    bare = name.replace("(", "(?:") if name.startswith("(") else name
+    return rf"(?:{name}\s*+\([^)]*+\){suffix}|{bare}\s*+\([^)]*+{skip})?+"
+
+
+# --- fixed values: vocabularies and text patterns per language ---------------
+ARROW_TAIL = r"\s*+(?::\s*+(?:(?!=>)(?:[^\s()]|\([^\s()]*+\)))++\s*+)?+=>"
+C_QUALIFIERS = r"(?:\s*+(?:const|noexcept|override|final))*+\s*+"
+C_BODY = C_QUALIFIERS + r"(?::[^{]*+)?+\{"
+C_SKIP = r"(?:\)" + C_QUALIFIERS + r":[^{]*+\z)?+"  # no brace follows to the end of the text
+RUST_VISIBLE = rf"^[ \t]*+(?:pub(?:\({GOOD}[^)]++\){GOOD})?+\s++)?+"
+C_BASES = r"\s*+(?::[\w:,\s]*+)?+"
 BUILTIN_LANGUAGES = [
     Language("python", "Python", ["py"], "python",
              "__pycache__ venv env node_modules dist build", EGG_INFO_SUFFIX),
@@ -116,69 +158,71 @@ BUILTIN_LANGUAGES = [
         rules=[
             rule(r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+(\w+)\s*[(<]"),
             # an arrow on the line of the name, or after parameters that a line ending in ( or , begins
-            rule(r"^[ \t]*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*[:=][^=]"
-                 r"(?:.*?=>|.*(?<=[(,])\n[^)]*+\)\s*+(?::\s*+\S+?\s*+)?=>)", role="dedupe"),
+            rule(r"^[ \t]*(?:export\s+)?(?:const|let|var)\s+(\w++)\s*+[:=][^=]"
+                 r"(?:.*?=>|.*(?<=[(,])" + GOOD + r"\n[^)]*+\)" + GOOD + ARROW_TAIL + ")", role="dedupe"),
             rule(r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)",
                  kind="class", calls=False, role="container"),
-            rule(r"^[ \t]+(?:(?:public|private|protected|static|async|override|readonly)\s+){0,12}"
-                 r"(\w+)\s*\([^)]*\)\s*(?::\s*\S+\s*)?\{", kind="method", role="member",
+            rule(r"^[ \t]++(?:(?:public|private|protected|static|async|override|readonly)\s++(?!\())*+"
+                 + called_with(r"(\w++)", r"\s*+(?::\s*+\S[^\s{]*+\s*+)?+\{"), kind="method", role="member",
                  exclude="constructor super return if for while"),
         ],
         imports=[
-            imports(r"""\bimport\s++(?:[^'";]*?\sfrom\s++)?['"]([^'"]+)['"]""", drop="^node:"),
+            # a clause up to its string or semicolon, then what it names
+            imports(r"""(\bimport\s++[^'";]*+(?:['"][^'"]++['"])?+)""", drop="^node:",
+                    inner=r"""(?:\Aimport\s++[^'";]*?\sfrom\s++|\bimport\s++)['"]([^'"]+)['"]"""),
             imports(r"""(?:\brequire|\bimport)\s*\(\s*['"]([^'"]+)['"]\s*\)""", drop="^node:"),
-            imports(r"""\bexport\s[^'"]*?\sfrom\s++['"]([^'"]+)['"]""", drop="^node:"),
+            imports(r"""(\bexport\s[^'"]*+(?:['"][^'"]++['"])?+)""", drop="^node:",
+                    inner=r"""\Aexport\s[^'"]*?\sfrom\s++['"]([^'"]+)['"]"""),
         ],
         branch=words("if else+if for while switch catch finally case"),
         call_exclude="if for while switch catch function class return typeof instanceof "
                      "new delete void throw",
-        block_mode="after"),
+        block_mode="after", mark=Mark(")", ARROW_TAIL, r"(?<=[(,])(?=\n)")),
     Language(
         "c", "C/C++", "c cpp cc cxx h hpp hh hxx".split(),
         skip_dirs="build dist cmake-build-debug cmake-build-release __pycache__ "
                   "node_modules out obj CMakeFiles Debug Release",
         rules=[
-            rule(r"^(?![ \t]*#)\s*+" + typed(r"\w:*&<>", 1)
-                 + r"(?:[\w:~]+::)?(\w+)\s*\([^)]*\)" + C_QUALIFIERS,
+            # blank lines before the first token belong to the declaration
+            rule(r"^(?![ \t]*#)(?:\s*+" + tokens(r"\w:*&<>") + "++(?:(?:[\\w:~]+::)?"
+                 + called_with(r"(\w++)", C_BODY, C_SKIP) + r")?+|\s++)",
                  exclude="if for while switch return else catch"),
-            rule(r"^[ \t]*(?:template\s*<[^>]*>\s*)?(?:class|struct)\s+(\w+)"
-                 r"(?:\s*:\s*(?:public|protected|private)?\s*[\w:,\s]*)?\s*\{",
-                 kind="class", calls=False, role="container"),
-            rule(r"^[ \t]+" + typed(r"\w:*&<>~", 0) + r"(~?\w+)\s*\([^)]*\)" + C_QUALIFIERS,
+            rule(rf"^[ \t]*+(?:template\s*+<{GOOD}[^>]*+>{GOOD}\s*+)?+(?:class|struct)\s++"
+                 rf"(?:(\w++){C_BASES}\{{|\w++\s*+:[\w:,\s]*+)", kind="class", calls=False, role="container"),
+            rule(r"^[ \t]++" + tokens(r"\w:*&<>~") + "*+" + called_with(r"(~?\w++)", C_BODY, C_SKIP),
                  kind="method", role="member", exclude="if for while return"),
         ],
-        imports=[imports(r'^\s*#\s*include\s+"([^"]+)"')],
+        imports=[imports(r'^[^\S\n]*+#\s*include\s+"([^"]+)"')],
         branch=words("if else+if for while switch case catch goto"),
         call_exclude="if for while switch return sizeof typeof case catch class struct new "
                      "delete throw void int char float double long short unsigned signed "
-                     "static inline extern"),
+                     "static inline extern",
+        mark=Mark(">", rf"\s*+(?:class|struct)\s++\w++{C_BASES}\{{", "<")),
     Language(
         "java", "Java", ["java"], skip_dirs="build dist target out",
         rules=[
-            rule(r"^[ \t]*(?:(?:public|protected|private|abstract|static|final|strictfp)\s+){0,12}"
-                 r"(?:class|interface|enum|record)\s+(\w+)", kind="class", calls=False,
-                 role="container"),
-            rule(r"^[ \t]+" + typed(r"\w<>,\[\]?", 1) + r"(\w+)\s*\([^)]*\)"
-                 r"(?:\s*throws\s+[\w,\s]+)?\s*\{", kind="method", role="member",
+            rule(modifiers("public|protected|private|abstract|static|final|strictfp",
+                           "class|interface|enum|record", r"(\w++)"), kind="class", calls=False, role="container"),
+            rule(r"^[ \t]++" + tokens(r"\w<>,\[\]?") + "++"
+                 + called_with(r"(\w++)", r"(?:\s*+throws\s[\w,\s]++)?+\s*+\{"), kind="method", role="member",
                  exclude="if for while switch return catch try synchronized class interface "
                          "new throw void super this case"),
         ],
-        imports=[imports(r"^\s*import\s+(?:static\s+)?([\w.]+(?:\.\*)?)\s*;")],
+        imports=[imports(r"^[^\S\n]*+import\s+(?:static\s+)?([\w.]+(?:\.\*)?)\s*;")],
         branch=words("if else+if for while switch case catch finally try"),
         call_exclude="if for while switch return catch try synchronized class interface new "
                      "throw void super this case"),
     Language(
         "csharp", "C#", ["cs"], skip_dirs="bin obj Properties packages",
         rules=[
-            rule(r"^[ \t]*(?:(?:public|protected|internal|private|abstract|sealed|static|partial)"
-                 r"\s+){0,12}(?:class|struct|interface|record)\s+(\w+)", kind="class", calls=False,
-                 role="container"),
-            rule(r"^[ \t]+" + typed(r"\w<>,\[\]?", 1) + r"(\w+)\s*\([^)]*\)"
-                 r"(?:\s*where\s+.*)?\s*\{", kind="method", role="member",
+            rule(modifiers("public|protected|internal|private|abstract|sealed|static|partial",
+                           "class|struct|interface|record", r"(\w++)"), kind="class", calls=False, role="container"),
+            rule(r"^[ \t]++" + tokens(r"\w<>,\[\]?") + "++"
+                 + called_with(r"(\w++)", r"(?:\s*+where\s++[^\n{]*+)?+\s*+\{"), kind="method", role="member",
                  exclude="if for foreach while switch return catch try class interface new throw "
                          "void base this case typeof nameof sizeof"),
         ],
-        imports=[imports(r"^\s*using\s+(?:static\s+)?([\w.]+)\s*;")],
+        imports=[imports(r"^[^\S\n]*+using\s+(?:static\s+)?([\w.]+)\s*;")],
         branch=words("if else+if for foreach while switch case catch finally try"),
         call_exclude="if for foreach while switch return catch try class interface new throw "
                      "void base this case typeof nameof sizeof"),
@@ -186,38 +230,39 @@ BUILTIN_LANGUAGES = [
         "go", "Go", ["go"], skip_dirs="vendor bin pkg",
         rules=[
             rule(r"^[ \t]*type\s+(\w+)\s+(?:struct|interface)\s*\{", kind="class", calls=False),
-            rule(r"^[ \t]*func\s+(?:\([^)]+\)\s+)?(\w+)\s*\(", role="bodied",
+            rule(rf"^[ \t]*+func\s++(?:\({GOOD}[^)]++\){GOOD}\s++)?+(\w++)\s*+\(", role="bodied",
                  exclude="if for switch select return defer go type func struct interface case "
                          "make new panic recover append len cap"),
         ],
-        imports=[imports(r'^\s*import\s+"([^"]+)"'),
-                 imports(r"^\s*import\s*\(([^)]*)\)", inner='"([^"]+)"')],
+        imports=[imports(r'^[^\S\n]*+import\s+"([^"]+)"'),
+                 imports(r"^[^\S\n]*+import\s*+\((?:([^)]*+)\)|[^)]*+\z)", inner='"([^"]+)"')],
         branch=words("if else+if for switch case select defer"),
         call_exclude="if for switch select return defer go type func struct interface case make "
-                     "new panic recover append len cap"),
+                     "new panic recover append len cap",
+        mark=Mark(")", r"\s++\w++\s*+\(", r"\((?=[^)])")),
     Language(
         "rust", "Rust", ["rs"], skip_dirs="target vendor",
         rules=[
-            rule(r"^[ \t]*(?:pub(?:\([^)]+\))?\s+)?(?:struct|enum|trait)\s+(\w+)", kind="class",
-                 calls=False),
-            rule(r"^[ \t]*(?:pub(?:\([^)]+\))?\s+)?(?:async\s+)?(?:const\s+)?fn\s+(\w+)\s*\(",
+            rule(RUST_VISIBLE + r"(?:struct|enum|trait)\s++(\w++)", kind="class", calls=False),
+            rule(RUST_VISIBLE + r"(?:async\s++)?+(?:const\s++)?+fn\s++(\w++)\s*+\(",
                  exclude="if for while loop match return let mut pub fn struct enum trait impl "
                          "use crate mod super self Self where async await break continue"),
         ],
-        imports=[imports(r"^\s*(?:pub\s+)?use\s+([\w:]+)", separator="::",
+        imports=[imports(r"^[^\S\n]*+(?:pub\s+)?use\s+([\w:]+)", separator="::",
                          skip=["", "crate", "self", "super"], drop="^(?:std|core|alloc)(?:/|$)"),
-                 imports(r"^\s*(?:pub\s+)?mod\s+(\w+)\s*;")],
+                 imports(r"^[^\S\n]*+(?:pub\s+)?mod\s+(\w+)\s*;")],
         branch=words("if else+if for while loop match"),
         call_exclude="if for while loop match return let mut pub fn struct enum trait impl use "
-                     "crate mod super self Self where async await break continue"),
+                     "crate mod super self Self where async await break continue",
+        mark=Mark(")", r"\s++(?:(?:async\s++)?+(?:const\s++)?+fn\s++\w++\s*+\(|(?:struct|enum|trait)\s++\w)",
+                  r"\((?=[^)])")),
     Language(
         "dart", "Dart", ["dart"], skip_dirs="build ios android web linux macos windows",
         rules=[
-            rule(r"^[ \t]*(?:(?:abstract|sealed|final|base|interface|mixin)\s+){0,12}"
-                 r"(?:class|mixin|extension)\s+(\w+)", kind="class", calls=False,
-                 role="container"),
-            rule(r"^[ \t]*" + typed(r"\w<>,_\[\]?", 1) + r"(_?\w+)\s*\([^)]*\)"
-                 r"(?:\s*async\*?|\s*sync\*)?\s*[{=]", kind="method", role="member",
+            rule(modifiers("abstract|sealed|final|base|interface", "class|extension", r"(\w++)", "mixin"), "$1$2",
+                 kind="class", calls=False, role="container"),
+            rule(r"^[ \t]*+" + tokens(r"\w<>,_\[\]?") + "++"
+                 + called_with(r"(_?\w++)", r"(?:\s*+async\*?+|\s*+sync\*)?+\s*+[{=]"), kind="method", role="member",
                  exclude="if for while switch return catch try class mixin extension new throw "
                          "void super this case await yield var final const late get set"),
         ],
@@ -230,15 +275,15 @@ BUILTIN_LANGUAGES = [
     Language(
         "php", "PHP", ["php"], skip_dirs="vendor node_modules storage",
         rules=[
-            rule(r"^[ \t]*(?:(?:abstract|final|readonly)\s+)*(?:class|interface|trait|enum)"
-                 r"\s+(\w+)", kind="class", calls=False, role="container"),
-            rule(r"^[ \t]*(?:(?:public|protected|private|static|final|abstract)\s+){0,12}"
-                 r"function\s+(&?\w+)\s*\(", kind="method", role="loose",
+            rule(modifiers("abstract|final|readonly", "class|interface|trait|enum", r"(\w++)"), kind="class",
+                 calls=False, role="container"),
+            rule(modifiers("public|protected|private|static|final|abstract", "function", r"(&?\w++)\s*+\("),
+                 kind="method", role="loose",
                  exclude="if elseif for foreach while switch return catch try class interface "
                          "trait new throw case echo print require require_once include "
                          "include_once isset empty unset die exit array list function"),
         ],
-        imports=[imports(r"^\s*use\s+([\w\\]+)\s*(?:;|\s+as)", separator="\\"),
+        imports=[imports(r"^[^\S\n]*+use\s+([\w\\]+)\s*(?:;|\s+as)", separator="\\"),
                  imports(r"""\b(?:require|require_once|include|include_once)\s*\(?\s*"""
                          r"""['"]([^'"]+)['"]""")],
         branch=words("if elseif for foreach while switch case catch try"),

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from srcgraph.functions.languages import AdapterRegistry, Language
+from srcgraph.functions.languages import FLAGS, GOOD, AdapterRegistry, Language, Mark
 from srcgraph.functions.trees import TREE_PARSERS, block_layout
 
 SYMBOL_TYPE = T.StructType([
@@ -129,10 +129,20 @@ def import_strings(text: Column, rules: list[dict]) -> Column:
     return F.flatten(F.array(*map(hits, rules))) if rules else F.array().cast("array<string>")
 
 
+def guarded(text: Column, mark: Mark) -> Column:
+    """The text with the marks of ``mark``: pieces between closers know whether their own closer is a good one."""
+    closer = f"\\Q{mark.closer}\\E"
+    pieces = F.split(F.regexp_replace(text, F.lit(f"{FLAGS}{closer}(?={mark.follow})"), F.lit(mark.closer + GOOD)), closer)
+    after = F.concat(F.slice(pieces, F.lit(2), F.size(pieces)), F.array(F.lit("")))
+    return F.array_join(F.zip_with(pieces, after, lambda piece, next_piece: F.when(
+        next_piece.startswith(GOOD), F.regexp_replace(piece, F.lit(FLAGS + mark.opener), F.lit("$0" + GOOD))).otherwise(piece)), mark.closer)
+
+
 def declarations(text: Column, language: Language) -> Column:
     """Every declaration hit with its 0-based line, in rule order then line order."""
     def hits(rule):
-        marked = F.regexp_replace(text, F.lit(rule["pattern"]), F.lit(f"{HIT}{rule['label']}{END}$0"))
+        source = F.col("guarded") if GOOD in rule["pattern"] else text
+        marked = F.regexp_replace(source, F.lit(rule["pattern"]), F.lit(f"{HIT}{rule['label']}{END}$0"))
         lines = F.transform(F.split(marked, "\n"), lambda l, i: F.struct(i.alias("line"), l.alias("text")))
         found = F.transform(
             F.filter(lines, lambda l: l["text"].contains(HIT)),
@@ -140,7 +150,7 @@ def declarations(text: Column, language: Language) -> Column:
                 F.lit(rule["role"]).alias("role"), F.lit(rule["kind"]).alias("kind"), F.lit(rule["calls"]).alias("calls"),
                 l["line"].alias("start"),
                 clean_name(F.substring_index(F.substring_index(l["text"], END, 1), HIT, -1), rule["kind"], language.name_junk).alias("name")))
-        return F.filter(found, lambda d: ~d["name"].isin(rule["exclude"])) if rule["exclude"] else found
+        return F.filter(found, lambda d: ~d["name"].isin(["", *rule["exclude"]]))
 
     found = F.flatten(F.array(*map(hits, language.rules))) if language.rules else F.array()
     found = found.cast(DECLARED_TYPE)
@@ -157,11 +167,12 @@ def clean_name(name: Column, kind: str, junk: str) -> Column:
 def drop_repeated(declared: Column) -> Column:
     """Drop ``dedupe`` declarations whose name an earlier declaration has."""
     keyed = F.array_sort(F.transform(declared, lambda d, i: F.struct(d["name"].alias("name"), i.alias("at"), d.alias("d"))))
+    names = F.transform(keyed, lambda k: k["name"])
+    before = F.slice(F.concat(F.array(F.lit(None).cast("string")), names), F.lit(1), F.size(names))
     kept = F.filter(
-        F.transform(keyed, lambda k, i: F.struct(
+        F.zip_with(keyed, before, lambda k, name: F.struct(
             k["at"].alias("at"), k["d"].alias("d"),
-            ((k["d"]["role"] == "dedupe")
-             & F.coalesce(F.get(keyed, i - 1)["name"] == k["name"], F.lit(False))).alias("drop"))),
+            ((k["d"]["role"] == "dedupe") & F.coalesce(name == k["name"], F.lit(False))).alias("drop"))),
         lambda k: ~k["drop"])
     return F.transform(F.array_sort(F.transform(kept, lambda k: F.struct(k["at"].alias("at"), k["d"].alias("d")))), lambda k: k["d"])
 
@@ -234,8 +245,9 @@ def parse_regex(files: DataFrame, languages: list[Language]) -> DataFrame:
     for same in kinds.values():
         facts = facts.when(F.col("adapter").isin([l.adapter for l in same]),
                            F.transform(split_lines(F.col("marked")), line_facts(same[0])))
-    read = files.withColumn("text", F.translate("text", HIT + END + BRANCH + OPEN + CLOSE, "\u0006" * 5))
+    read = files.withColumn("text", F.translate("text", HIT + END + BRANCH + OPEN + CLOSE + GOOD, "\u0006" * 6))
     # Staged as columns of their own, or every use would run the patterns again.
+    read = read.withColumn("guarded", by_language([l for l in languages if l.mark], lambda l: guarded(F.col("text"), l.mark)))
     lined = read.withColumn("marked", one_break(by_language(languages, marked))).select(
         "file_path", "adapter", "language", "unread",
         by_language(languages, lambda l: F.lit(l.block_mode)).alias("block_mode"),
