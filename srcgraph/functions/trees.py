@@ -12,6 +12,8 @@ import warnings
 from bisect import bisect_left, bisect_right
 from html.parser import HTMLParser
 
+import numpy as np
+
 from srcgraph.functions.fixed import (
     ASSET_ATTRIBUTE, EXTERNAL_PREFIXES, STRUCTURAL_TAGS, VOID_TAGS,
 )
@@ -276,13 +278,67 @@ def block_layout(mode, net, opens, marks, starts, roles) -> dict:
     low = [bisect_left(members, s) for s in starts]
     high = [bisect_right(members, e) for e in ends]
     covered = sorted((s, e) for s, e, role in zip(starts, ends, roles) if role == "container")
-    keep, reach = [], -1
+    keep, reach, at = [], -1, 0
     for s, e, role in zip(starts, ends, roles):
         if role == "loose":
-            while covered and covered[0][0] <= s:
-                reach = max(reach, covered.pop(0)[1])
+            while at < len(covered) and covered[at][0] <= s:
+                reach = max(reach, covered[at][1])
+                at += 1
             keep.append(s > reach)
             reach = max(reach, e) if s > reach else reach
         else:
             keep.append(role != "member" and not (role == "bodied" and e == n - 1 and not opens[min(s, n - 1)]))
     return dict(ends=ends, low=low, high=high, keep=keep)
+
+
+def deepest(net, starts, ends) -> np.ndarray:
+    """Greatest depth of each block of lines that counts from 0 at its start and never drops below 0.
+
+    That is the greatest rise of the running sum between two places of the block;
+    a tree of (least, greatest, rise) answers all blocks at once.
+    """
+    level = np.r_[0, np.cumsum(net)]
+    size = 1 << int(len(level) - 1).bit_length() if len(level) > 1 else 1
+    far = 1 << 40
+    low, high, rise = np.full(2 * size, far), np.full(2 * size, -far), np.zeros(2 * size, np.int64)
+    low[size:size + len(level)] = high[size:size + len(level)] = level
+    at = size
+    while at > 1:
+        left, right, half = slice(at, 2 * at, 2), slice(at + 1, 2 * at, 2), slice(at // 2, at)
+        low[half] = np.minimum(low[left], low[right])
+        high[half] = np.maximum(high[left], high[right])
+        rise[half] = np.maximum(np.maximum(rise[left], rise[right]), high[right] - low[left])
+        at //= 2
+    first, last = np.array(starts, np.int64) + size, np.array(ends, np.int64) + 2 + size
+    none = np.zeros(len(first), np.int64)
+    front, back = [none + far, none - far, none], [none + far, none - far, none]
+    while (first < last).any():
+        node = np.where((first < last) & (first & 1 == 1), first, 0)
+        here = [np.where(node > 0, low[node], far), np.where(node > 0, high[node], -far), np.where(node > 0, rise[node], 0)]
+        front = [np.minimum(front[0], here[0]), np.maximum(front[1], here[1]),
+                 np.maximum(np.maximum(front[2], here[2]), here[1] - front[0])]
+        node_end = np.where((first < last) & (last & 1 == 1), last - 1, 0)
+        here = [np.where(node_end > 0, low[node_end], far), np.where(node_end > 0, high[node_end], -far),
+                np.where(node_end > 0, rise[node_end], 0)]
+        back = [np.minimum(back[0], here[0]), np.maximum(back[1], here[1]),
+                np.maximum(np.maximum(back[2], here[2]), back[1] - here[0])]
+        first, last = (first + (node > 0)) >> 1, (last - (node_end > 0)) >> 1
+    return np.maximum(np.maximum(front[2], back[2]), back[1] - front[0])
+
+
+def called_in(lines, names, starts, ends, wanted) -> list[list[str]]:
+    """Sorted distinct names that occur in each wanted block: for every name, the blocks its next place falls into."""
+    out: list[list[str]] = [[] for _ in starts]
+    blocks = np.flatnonzero(wanted)
+    if not len(blocks) or not len(names):
+        return out
+    begin, end = np.array(starts)[blocks], np.array(ends)[blocks]
+    order = np.argsort(names, kind="stable")
+    lines, names = np.asarray(lines)[order], np.asarray(names)[order]
+    cuts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]]).tolist() + [len(names)]
+    for a, b in zip(cuts, cuts[1:]):
+        place = np.searchsorted(lines[a:b], begin)
+        found = np.flatnonzero((place < b - a) & (lines[a:b][np.minimum(place, b - a - 1)] <= end))
+        for k in found.tolist():
+            out[blocks[k]].append(names[a])
+    return out

@@ -7,12 +7,13 @@ block ends.
 """
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from srcgraph.functions.languages import FLAGS, GOOD, AdapterRegistry, Language, Mark
-from srcgraph.functions.trees import TREE_PARSERS, block_layout
+from srcgraph.functions.trees import TREE_PARSERS, block_layout, called_in, deepest
 
 SYMBOL_TYPE = T.StructType([
     T.StructField("top_ord", T.IntegerType()),      # position among top-level symbols
@@ -46,7 +47,10 @@ LAYOUT_TYPE = T.StructType([
     T.StructField("ends", T.ArrayType(T.IntegerType())),
     T.StructField("low", T.ArrayType(T.IntegerType())),
     T.StructField("high", T.ArrayType(T.IntegerType())),
-    T.StructField("keep", T.ArrayType(T.BooleanType()))])
+    T.StructField("keep", T.ArrayType(T.BooleanType())),
+    T.StructField("nesting", T.ArrayType(T.IntegerType())),
+    T.StructField("branches", T.ArrayType(T.IntegerType())),
+    T.StructField("calls", T.ArrayType(T.ArrayType(T.StringType())))])
 
 DECLARED_TYPE = "array<struct<role:string,kind:string,calls:boolean,start:int,name:string>>"
 OTHER_BREAKS = "\u000b\f\u001c\u001d\u001e\u0085  "  # end a line as \n does
@@ -178,10 +182,29 @@ def drop_repeated(declared: Column) -> Column:
 
 
 @F.arrow_udf(LAYOUT_TYPE)
-def layout_blocks(mode: pa.Array, net: pa.Array, opens: pa.Array, marks: pa.Array,
-                  starts: pa.Array, roles: pa.Array) -> pa.Array:
-    columns = [c.to_pylist() for c in (mode, net, opens, marks, starts, roles)]
-    return pa.array([block_layout(*row) for row in zip(*columns)], to_arrow_type(LAYOUT_TYPE))
+def layout_blocks(mode: pa.Array, net: pa.Array, opens: pa.Array, marks: pa.Array, nests: pa.Array, branches: pa.Array,
+                  calls: pa.Array, starts: pa.Array, roles: pa.Array, wanted: pa.Array) -> pa.Array:
+    """Blocks of every file and what they hold; lists stay flat arrays, cut by their offsets."""
+    def flat(lists):
+        return lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+
+    (at, net), (_, opens), (_, marks), (_, nests), (_, branches) = map(flat, (net, opens, marks, nests, branches))
+    call_at, (name_at, names) = calls.offsets.to_numpy(), flat(calls.values)
+    (begin, starts), (_, roles), (_, wanted) = map(flat, (starts, roles, wanted))
+    line_of = np.repeat(np.arange(len(name_at) - 1), np.diff(name_at))  # of every called name, over all files
+    out = []
+    for i, kind in enumerate(mode.to_pylist()):
+        lines, own = slice(at[i], at[i + 1]), slice(begin[i], begin[i + 1])
+        told = starts[own].tolist()
+        blocks = block_layout(kind, net[lines].tolist(), opens[lines].tolist(), marks[lines].tolist(), told, roles[own].tolist())
+        last = max(int(at[i + 1] - at[i]) - 1, 0)
+        first, ends = np.minimum(told, last).astype(np.int64), np.array(blocks["ends"], np.int64)
+        total = np.r_[0, np.cumsum(branches[lines])]
+        called = slice(name_at[call_at[i]], name_at[call_at[i + 1]])
+        out.append({**blocks, "nesting": deepest(nests[lines], first, ends).tolist(),
+                    "branches": (total[ends + 1] - total[first]).tolist() if told else [],
+                    "calls": called_in(line_of[called] - call_at[i], names[called], first, ends, wanted[own].astype(bool))})
+    return pa.array(out, to_arrow_type(LAYOUT_TYPE))
 
 
 def parse_tree(parser, text: str) -> dict:
@@ -261,31 +284,24 @@ def parse_regex(files: DataFrame, languages: list[Language]) -> DataFrame:
             F.transform("lines", lambda l: l["opens"] - l["closes"]),
             F.transform("lines", lambda l: l["opens"]),
             F.transform("lines", lambda l: l["mark"]),
+            F.transform("lines", lambda l: l["opens"] - l["nest_closes"]),
+            F.transform("lines", lambda l: l["branches"]),
+            F.transform("lines", lambda l: l["calls"]),
             F.transform("declared", lambda d: d["start"]),
-            F.transform("declared", lambda d: d["role"])).alias("layout"))
-
-    def measured(d):
-        """Declaration with its block, before it gets a place in the symbol tree."""
-        size = d["end"] - d["start"] + 1
-        body = F.slice(F.col("lines"), d["start"] + 1, size)
-        calls = F.array_distinct(F.flatten(F.transform(body, lambda l: l["calls"])))
-        return F.struct(
-            d["name"].alias("name"), d["role"].alias("role"), d["kind"].alias("kind"),
-            d["start"].alias("start"), d["end"].alias("end"),
-            d["low"].alias("low"), d["high"].alias("high"), d["keep"].alias("keep"),
-            running_depth(F.transform(body, lambda l: l["opens"] - l["nest_closes"])).alias("nesting"),
-            F.aggregate(body, F.lit(0), lambda n, l: n + l["branches"]).alias("branches"),
-            F.when(d["calls"], F.array_sort(calls)).otherwise(F.array().cast("array<string>")).alias("calls"))
+            F.transform("declared", lambda d: d["role"]),
+            F.transform("declared", lambda d: d["calls"])).alias("layout"))
 
     last = F.greatest(F.size("lines") - 1, F.lit(0))
     placed = F.transform("declared", lambda d, i: F.struct(
         d["name"].alias("name"), d["role"].alias("role"), d["kind"].alias("kind"),
-        d["calls"].alias("calls"), F.least(d["start"], last).alias("start"),
+        F.least(d["start"], last).alias("start"),
         F.get(F.col("layout.ends"), i).alias("end"), F.get(F.col("layout.low"), i).alias("low"),
-        F.get(F.col("layout.high"), i).alias("high"), F.get(F.col("layout.keep"), i).alias("keep")))
+        F.get(F.col("layout.high"), i).alias("high"), F.get(F.col("layout.keep"), i).alias("keep"),
+        F.get(F.col("layout.nesting"), i).alias("nesting"), F.get(F.col("layout.branches"), i).alias("branches"),
+        F.get(F.col("layout.calls"), i).alias("calls")))
     sized = laid.select("file_path", "adapter", "language", "unread", "imports",
                         F.size("lines").alias("line_count"),
-                        F.transform(placed, measured).alias("blocks"))
+                        placed.alias("blocks"))
     split = sized.select(
         "file_path", "adapter", "language", "unread", "imports", "line_count",
         F.filter("blocks", lambda b: b["keep"]).alias("tops"),
@@ -311,7 +327,9 @@ def parse_regex(files: DataFrame, languages: list[Language]) -> DataFrame:
         children = F.transform(
             F.slice("members", b["low"] + 1, b["high"] - b["low"]),
             lambda m, j: shaped(m, i, j + 1, F.lit(0), 1, F.lit("method")))
-        return F.when(b["role"] == "container", F.concat(F.array(own), children)).otherwise(F.array(own))
+        # naming the members twice keeps Spark from computing them anew for every block
+        with_children = (b["role"] == "container") & (F.size("members") > 0)
+        return F.when(with_children, F.concat(F.array(own), children)).otherwise(F.array(own))
 
     return split.select(
         "file_path", "adapter", "language", "line_count", status(F.lit("ok")),

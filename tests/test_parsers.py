@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from srcgraph.functions.languages import AdapterRegistry, BUILTIN_LANGUAGES, Language, rule
-from srcgraph.functions.trees import block_layout, parse_css, parse_html, parse_python
+from srcgraph.functions.trees import block_layout, called_in, deepest, parse_css, parse_html, parse_python
 from srcgraph.operators import parse
 
 SOURCES = {
@@ -290,3 +290,65 @@ def test_long_lines(spark):
     found = {r.file_path: r.n for r in parse.parse_files(files).select("file_path", F.size("symbols").alias("n")).collect()}
     assert len(found) == len(rows) and found["ok.js"] == 1
     assert time.time() - start < 240  # seventy megabytes
+
+
+# Starts of declarations and imports that never end, or end in nothing: each may be read a few times only.
+ENDLESS = {
+    "javascript": ["import a ", "export a\n", "const x = [1,\n", "const x = (a,\n", "  f(int a\n", "  static async\n", "function f(\n",
+                   "  f(a) : b\n", "const x = a): b ", "class A\n", "\n"],
+    "c": ["int f(int a\n", "  a b c\n", "template <\n", "template < class >\n", "class A : b,\n", "int f(a) : b\n", "  \n"],
+    "java": ["  public void f(int a\n", "public\n", "  a b\n", "  void f(a) throws b,\n", "class a\n"],
+    "csharp": ["  public void f(int a\n", "public\n", "  void f(a) where b\n", "  void f(a) where  "],
+    "go": ["import (\n", "func (\n", "func (a\n", "func f(\n"], "rust": ["pub(\n", "pub(a) \n", "fn a\n"],
+    "dart": ["int f(int a\n", "final\n", "mixin\n", "mixin a\n"], "php": ["public\n", "function\n", "function f(\n", "use a\n"],
+    "r": ["a.a", "a <- \n", "source('\n"], "sql": ["CREATE OR REPLACE\n", "CREATE TABLE\n", "BEGIN\n"],
+}
+
+
+def seconds(spark, size):
+    """Time for one file of ``size`` characters of every endless text."""
+    rows = [(f"{n}/{i}", n, unit * (size // len(unit))) for n, units in ENDLESS.items() for i, unit in enumerate(units)]
+    files = spark.createDataFrame(rows, "file_path string, adapter string, text string").repartition(16, "file_path")
+    start = time.time()
+    found = parse.parse_files(files, engines=("regex",)).agg(F.count(F.lit(1)), F.sum(F.size("symbols") + F.size("imports"))).first()
+    assert found[0] == len(rows)
+    return time.time() - start
+
+
+def test_endless_declarations(spark):
+    """Time grows with the text, not with its square: for forty texts of 400 kB, some seconds each."""
+    seconds(spark, 1000)
+    small, large = seconds(spark, 100_000), seconds(spark, 400_000)
+    assert large < 5 * small + 10, (small, large)
+
+
+def test_many_tokens_and_modifiers(spark):
+    """No bound on type tokens or modifiers."""
+    files = spark.createDataFrame([
+        ("a.c", "c", "static " * 30 + "int f(int a) {\n}\n"), ("b.java", "java", "class A {\n  " + "final " * 40 + "int g() {\n  }\n}\n"),
+        ("c.java", "java", "public " * 40 + "class B {\n}\n"), ("d.dart", "dart", "mixin mixin M {\n}\n")],
+        "file_path string, adapter string, text string")
+    found = {r.file_path: [s.name for s in r.symbols] for r in parse.parse_files(files).collect()}
+    assert found == {"a.c": ["f"], "b.java": ["A", "g"], "c.java": ["B"], "d.dart": ["M"]}
+
+
+def test_what_blocks_hold():
+    """Depths and called names of blocks against plain loops."""
+    rng = random.Random(4)
+    for _ in range(300):
+        n = rng.randint(1, 30)
+        net = [rng.randint(-2, 2) for _ in range(n)]
+        spans = [(s, rng.randint(s, n - 1)) for s in (rng.randrange(n) for _ in range(rng.randint(0, 8)))]
+        calls = sorted((rng.randrange(n), rng.choice("abcd")) for _ in range(rng.randint(0, 20)))
+        starts, ends = [s for s, _ in spans], [e for _, e in spans]
+
+        def plain(s, e):
+            now = most = 0
+            for value in net[s:e + 1]:
+                now = max(now + value, 0)
+                most = max(most, now)
+            return most
+        assert deepest(net, starts, ends).tolist() == [plain(s, e) for s, e in spans]
+        wanted = [rng.random() < .7 for _ in spans]
+        found = called_in([c[0] for c in calls], [c[1] for c in calls], starts, ends, wanted)
+        assert found == [sorted({name for line, name in calls if s <= line <= e}) if w else [] for (s, e), w in zip(spans, wanted)]
