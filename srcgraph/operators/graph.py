@@ -1,8 +1,9 @@
 """Queries over edge tables (src, dst): degrees, cycles, reachability, components."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from srcgraph.operators.ranks import ranked
 from srcgraph.operators.skew import salted_join
 from srcgraph.session import BROADCAST_ROWS, cut
 
@@ -18,8 +19,7 @@ def neighbours(edges: DataFrame) -> DataFrame:
     pairs = edges.where("src <> dst").select("src", "dst").distinct()
     sides = pairs.select(F.col("dst").alias("file_path"), F.lit("dependents").alias("side"), F.col("src").alias("other")).unionByName(
         pairs.select(F.col("src").alias("file_path"), F.lit("dependencies").alias("side"), F.col("dst").alias("other")))
-    order = Window.partitionBy("file_path", "side").orderBy("other")
-    return sides.withColumn("position", F.row_number().over(order))
+    return ranked(sides, ["file_path", "side"], ["other"])
 
 
 def monoliths(edges: DataFrame, minimum: int) -> DataFrame:
@@ -103,6 +103,16 @@ def blast_radius(edges: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("radius"))
 
 
+def blast_lists(edges: DataFrame, keep: int = 4) -> DataFrame:
+    """(node, names, more): the first ``keep`` direct neighbours in either direction and how many more there are."""
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    near = both.where("src <> dst").select(F.col("src").alias("node"), F.col("dst").alias("other")).distinct()
+    placed = ranked(near, ["node"], ["other"])
+    return placed.groupBy("node").agg(
+        F.array_sort(F.collect_list(F.when(F.col("position") <= keep, F.col("other")))).alias("names"),
+        F.greatest(F.count(F.lit(1)) - keep, F.lit(0)).alias("more"))
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(grp, node) with undirected links (grp, a, b) -> (grp, node, component).
 

@@ -15,7 +15,7 @@ from srcgraph.functions.fixed import (
 from srcgraph.functions.languages import BUILTIN_LANGUAGES
 from srcgraph.functions.purpose import exempt_from_dead, keyword_purpose, name_purpose, size_purpose
 from srcgraph.functions.score import file_score
-from srcgraph.operators import compare, graph, model, parse, resolve, splits, usage, views
+from srcgraph.operators import compare, graph, model, parse, refresh, resolve, splits, usage, views
 from srcgraph.plans import derived
 from srcgraph.plans.engine import Engine
 from srcgraph.session import cut, shared_folder, spread_small
@@ -498,6 +498,28 @@ def edge_usage(spark, folder):
     return resolve.edge_usage(resolved_edges(spark, folder), by_file).select("src", "dst", F.col("usage_count").cast("long").alias("usage_count"))
 
 
+@query("refresh_edges", f"""WITH {PART_IMPORT_SQL},
+    stays AS (SELECT file_path FROM named JOIN part USING (p_partkey) WHERE p_size > 5)
+    SELECT DISTINCT src, dst FROM imp WHERE hit AND src <> dst AND src IN (FROM stays) AND dst IN (FROM stays)""")
+def refresh_edges(spark, folder):
+    """Edges after two changes of a project of parts: the large ones are added, then the small ones go."""
+    sizes = part_files(spark, folder).join(table(spark, folder, "part").select("p_partkey", "p_size"), "p_partkey")
+    files = sizes.select("file_path", "p_size", model.file_order(F.lit("any"), F.col("file_path")).alias("file_ord"))
+    imports = part_imports(spark, folder).join(files.select("file_path", "p_size"), "file_path")
+    symbols = files.select("file_path", F.lit("f").alias("name"))
+
+    def rows(condition):
+        return [frame.where(condition) for frame in (files.select("file_path", "file_ord", "p_size"), symbols.join(files, "file_path"), imports)]
+
+    def told(frames):
+        return frames[0].select("file_path", "file_ord"), frames[1].select("file_path", "name"), frames[2].select("file_path", "pos", "raw")
+
+    state = refresh.first_state(*told(rows("p_size <= 40")))
+    state, _ = refresh.refresh(state, files.where("false"), *told(rows("p_size > 40")))
+    state, _ = refresh.refresh(state, files.where("p_size <= 5"), *told(rows("false")))
+    return state.edges.select("src", "dst")
+
+
 # --- graph --------------------------------------------------------------------
 @query("monoliths", f"""WITH {PART_EDGE_SQL}
     SELECT dst AS file_path, count(*) AS dependents FROM edge GROUP BY dst HAVING count(*) >= 3""")
@@ -529,6 +551,15 @@ def neighbours(spark, folder):
     return graph.neighbours(part_edges(spark, folder)).withColumn("position", F.col("position").cast("long"))
 
 
+@query("blast_lists", f"""WITH {PART_EDGE_SQL},
+    near AS (SELECT src AS node, dst AS other FROM edge UNION SELECT dst, src FROM edge),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY other) AS position FROM near)
+    SELECT node, string_agg(other, ',' ORDER BY position) FILTER (position <= 4) AS names, greatest(count(*) - 4, 0) AS more FROM placed GROUP BY node""")
+def blast_lists(spark, folder):
+    """The first four files a change of each part may reach at once and how many more there are."""
+    return graph.blast_lists(part_edges(spark, folder)).select("node", F.array_join(F.col("names").cast("array<string>"), ",").alias("names"), "more")
+
+
 @query("neighbour_short_lists", f"""WITH {NEIGHBOUR_SQL}
     SELECT file_path, side, string_agg(other, ',' ORDER BY position) FILTER (position <= 4) AS names, greatest(count(*) - 4, 0) AS more
     FROM near GROUP BY file_path, side""")
@@ -697,6 +728,12 @@ def symbol_impact(spark, folder):
     return usage.symbol_impact(usage.symbol_usages(*usage_inputs(spark, folder)))
 
 
+@query("impact_rows", f"""WITH {USAGE_SQL}
+    SELECT def_file, symbol, row_number() OVER (PARTITION BY def_file, symbol ORDER BY use_file, line) AS position, use_file, line FROM hit""")
+def impact_rows(spark, folder):
+    return usage.impact_rows(usage.symbol_usages(*usage_inputs(spark, folder)))
+
+
 @query("symbol_counts", f"""WITH {USAGE_SQL}
     SELECT 'b' || split_part(p_brand, '#', 2) || '.py' AS file_path, 'p' || p_partkey AS name, count(DISTINCT use_file) AS file_count
     FROM part LEFT JOIN hit ON symbol = 'p' || p_partkey GROUP BY 1, 2""")
