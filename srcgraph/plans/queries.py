@@ -478,9 +478,9 @@ PART_IMPORT_SQL = """
             FROM pair JOIN named s ON l_partkey = s.p_partkey JOIN named t ON nxt = t.p_partkey)"""
 
 
-def resolved_edges(spark, folder):
+def resolved_edges(spark, folder, imports=None):
     files = part_files(spark, folder).select("file_path", model.file_order(F.lit("any"), F.col("file_path")).alias("file_ord"))
-    return resolve.dependency_edges(resolve.resolve_imports(part_imports(spark, folder), files))
+    return resolve.dependency_edges(resolve.resolve_imports(part_imports(spark, folder) if imports is None else imports, files))
 
 
 @query("resolve_imports", f"WITH {PART_IMPORT_SQL} SELECT DISTINCT src, dst FROM imp WHERE hit AND src <> dst")
@@ -494,8 +494,9 @@ def resolve_imports(spark, folder):
     label AS (SELECT *, split_part(dst, '/', -1) AS name FROM edge JOIN raws USING (src))
     SELECT src, dst, greatest(1, len(list_filter(raws, lambda r: contains(r, regexp_replace(name, '[.][^.]*$', ''))))) AS usage_count FROM label""")
 def edge_usage(spark, folder):
-    by_file = part_imports(spark, folder).groupBy("file_path").agg(F.collect_list("raw").alias("imports"))
-    return resolve.edge_usage(resolved_edges(spark, folder), by_file).select("src", "dst", F.col("usage_count").cast("long").alias("usage_count"))
+    imports, _ = cut(part_imports(spark, folder))
+    by_file = imports.groupBy("file_path").agg(F.collect_list("raw").alias("imports"))
+    return resolve.edge_usage(resolved_edges(spark, folder, imports), by_file).select("src", "dst", F.col("usage_count").cast("long").alias("usage_count"))
 
 
 @query("refresh_edges", f"""WITH {PART_IMPORT_SQL},
