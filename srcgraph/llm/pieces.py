@@ -23,6 +23,7 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from srcgraph.llm.tables import map_arrow
@@ -39,6 +40,17 @@ def default_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def groups(sizes) -> list[tuple[int, int]]:
+    """Ranges of rows of about ``SLICE`` in size, a larger row alone."""
+    out, start, held = [], 0, 0
+    for n, size in enumerate(sizes):
+        held += int(size)
+        if held >= SLICE:
+            out.append((start, n + 1))
+            start, held = n + 1, 0
+    return out + [(start, len(sizes))] if start < len(sizes) else out
+
+
 def model(path: str) -> "PieceModel":
     """One model per worker process and vocabulary."""
     if path not in _models:
@@ -314,6 +326,10 @@ class PieceModel:
         """Texts of ids: pieces joined, blanks restored, the leading blank left out, runs of byte pieces read as UTF-8."""
         if len(flat) and (flat.min() < 0 or flat.max() >= self.size):
             raise ValueError("an id outside the vocabulary")
+        ends = np.r_[0, np.cumsum(counts)]
+        return [text for a, b in groups(counts) for text in self.decode_rows(flat[ends[a]:ends[b]], counts[a:b])]
+
+    def decode_rows(self, flat: np.ndarray, counts: np.ndarray) -> list[str]:
         sizes, begin = self.text_sizes[flat], self.text_starts[flat].copy()
         kind = self.kinds[flat]
         ends = np.cumsum(counts)
@@ -386,13 +402,14 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         return hashlib.sha256(text.encode()).hexdigest()
 
     def run(batch):
-        pieces = model(path)
-        flat, counts = pieces.encode(batch.column(1).to_pylist())
-        texts = pieces.decode(flat, counts)
-        ends = np.cumsum(counts).tolist()
+        pieces, column = model(path), batch.column(1)
         said = pieces.decimals
-        ids = [digest(",".join([said[i] for i in flat[b - n:b].tolist()])) for b, n in zip(ends, counts.tolist())]
-        yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.string()),
-                               pa.array([digest(t) for t in texts], pa.string())],
-                              ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        lengths = np.nan_to_num(pc.binary_length(column).to_numpy(zero_copy_only=False))
+        for a, b in groups(lengths):
+            flat, counts = pieces.encode(column[a:b].to_pylist())
+            ends = np.cumsum(counts).tolist()
+            ids = [digest(",".join([said[i] for i in flat[end - n:end].tolist()])) for end, n in zip(ends, counts.tolist())]
+            texts = [digest(text) for text in pieces.decode(flat, counts)]
+            yield pa.record_batch([batch.column(0)[a:b].cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.string()),
+                                   pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
     return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
