@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from srcgraph.functions.languages import FLAGS, GOOD, AdapterRegistry, Language, Mark
@@ -216,6 +216,27 @@ def parse_tree(parser, text: str) -> dict:
         return {**nothing, "status": "parse_error"}
 
 
+def register_table_function(spark: SparkSession, adapter: str, name: str, registry: AdapterRegistry | None = None) -> None:
+    """Register ``name(text)`` for SQL: one row per symbol that the adapter's own parser finds.
+
+    ``SELECT s.* FROM files, LATERAL name(text) AS s``.  Pattern languages have no parser
+    function; their files go through ``parse_files``.
+    """
+    registry = registry or AdapterRegistry()
+    parsers = {**TREE_PARSERS, **registry.parsers}
+    engine = registry.get(adapter).engine
+    if engine not in parsers:
+        raise ValueError(f"{adapter} is parsed by patterns, not by a function")
+    parser, fields = parsers[engine], SYMBOL_TYPE.fieldNames()
+
+    class Symbols:
+        def eval(self, text: str):
+            for found in parse_tree(parser, text or "")["symbols"]:
+                yield tuple(found.get(f) for f in fields)
+
+    spark.udtf.register(name, F.udtf(Symbols, returnType=SYMBOL_TYPE))
+
+
 def tree_parser(parsers: dict):
     """Column function (engine, text) -> parsed tree, with the helpers of these engines."""
     @F.arrow_udf(TREE_TYPE)

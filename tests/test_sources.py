@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from srcgraph.functions import paths
 from srcgraph.functions.languages import AdapterRegistry
 from srcgraph.functions.trees import symbol
+from srcgraph.operators.parse import register_table_function
 from srcgraph.plans import payloads
 from srcgraph.plans.engine import Engine
 from srcgraph.sources.cache import ParseCache
@@ -155,6 +156,23 @@ def test_own_parser(spark, tmp_path):
     assert (parsed["b.ini"].parse_status, parsed["b.ini"].symbols) == ("parse_error", []) and parsed["c.py"].parse_status == "ok"
 
 
+def test_table_function_of_a_parser(spark):
+    """A registered parser in SQL, with LATERAL; a text it fails on has no symbols."""
+    def parse_ini(text):
+        return {"symbols": [symbol(line[1:-1], "section", i, i, 0, 0) for i, line in enumerate(text.split("\n"), 1) if line[0] == "["]}
+
+    registry = AdapterRegistry().register_parser("ini", [".ini"], parse_ini)
+    register_table_function(spark, "ini", "ini_symbols", registry)
+    register_table_function(spark, "python", "python_symbols")
+    spark.createDataFrame([("a", "[one]\nx\n[two]"), ("b", "bad\n\n"), ("c", None)], "id string, text string").createOrReplaceTempView("ini_files")
+    rows = spark.sql("SELECT id, s.name, s.line_start FROM ini_files, LATERAL ini_symbols(text) AS s").collect()
+    assert sorted(tuple(r) for r in rows) == [("a", "one", 1), ("a", "two", 3)]
+    python = spark.sql("SELECT name, kind FROM python_symbols('class A:\\n  def f(self): pass\\n')").collect()
+    assert [tuple(r) for r in python] == [("A", "class"), ("f", "method")]
+    with pytest.raises(ValueError):
+        register_table_function(spark, "java", "java_symbols")
+
+
 def test_cache_parses_only_what_changed(spark, tmp_path):
     root, cache = tmp_path / "src", ParseCache(spark, str(tmp_path / "cache"))
     write(root, {"a.py": "def a(): pass\n", "b.py": "def b(): pass\n", "c.js": "function c() {\n}\n"})
