@@ -5,6 +5,7 @@ import argparse
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from srcgraph.functions.score import badge
 from srcgraph.plans import payloads
 from srcgraph.plans.engine import CodeModel, Engine
 from srcgraph.session import local_session
@@ -17,15 +18,26 @@ def print_rows(frame: DataFrame) -> None:
         print(" | ".join("" if v is None else str(v) for v in row))
 
 
+def print_document(lines: DataFrame) -> None:
+    """A document of ordered lines, a partition at a time."""
+    for row in lines.orderBy("position").toLocalIterator():
+        print(row.text)
+
+
+def print_tree(tree: DataFrame) -> None:
+    for row in tree.orderBy("position").toLocalIterator():
+        print("    " * row.depth + row.label)
+
+
 def report(model: CodeModel) -> None:
-    """Overview, modules, hotspots and purposes as text."""
-    model.metadata.show(truncate=False, vertical=True)
-    print_rows(model.modules.orderBy("module", "adapter"))
+    """Overview, structure tree, hotspots and purposes as text."""
+    model.metadata.withColumn("complexity_badge", badge(F.col("avg_complexity"))).show(truncate=False, vertical=True)
+    print_tree(model.structure_tree())
     model.hotspots.orderBy("rank").select(
-        "rank", "file_path", "symbol", "kind", "language", F.format_number("complexity", 0).alias("score"),
-        "heat", "line_count").show(model.top_n, truncate=False)
+        "rank", "file_path", "symbol", "kind", "language", badge(F.col("complexity")).alias("score"),
+        "line_count").show(model.top_n, truncate=False)
     print_rows(model.files.where("purpose IS NOT NULL").orderBy(F.desc("complexity"), "file_ord").select(
-        "file_path", "purpose", F.format_number("complexity", 0).alias("score"), "heat"))
+        "file_path", "purpose", badge(F.col("complexity")).alias("score")))
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -61,18 +73,19 @@ def main(argv: list[str] | None = None) -> None:
     elif args.command == "analyze":
         model = engine.analyze(args.path, args.top, args.lang)
         if args.json:
-            print(payloads.to_json(payloads.project_document(model)))
+            print_document(payloads.project_lines(model))
         else:
             report(model)
     else:
         model = engine.analyze(args.path)
-        document = {
-            "architecture": lambda: payloads.architecture_document(model),
-            "graph": lambda: payloads.graph_document(model),
-            "impact": lambda: payloads.impact_document(model, args.file),
-            "symbol-impact": lambda: payloads.symbol_document(model, args.file, args.symbol),
-        }[args.command]()
-        print(payloads.to_json(document))
+        if args.command == "architecture":
+            print_document(payloads.architecture_lines(model))
+        elif args.command == "graph":
+            print_document(payloads.graph_lines(model))
+        elif args.command == "impact":
+            print(payloads.to_json(payloads.impact_document(model, args.file)))
+        else:
+            print(payloads.to_json(payloads.symbol_document(model, args.file, args.symbol)))
 
 
 if __name__ == "__main__":

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from srcgraph.functions.fixed import (
-    AVG_SHARE, BOOSTS, HEAT_BANDS, HEAT_FLOOR, HEAT_RANK, MAX_BRANCHES, MAX_CALLS, MAX_LINES,
+    AVG_SHARE, BOOSTS, HEAT_BANDS, HEAT_FLOOR, HEAT_RANK, HEAT_SIGNS, MAX_BRANCHES, MAX_CALLS, MAX_LINES,
     MAX_NESTING, MAX_SHARE, NO_SYMBOL_SCALE, WEIGHT_BRANCHES, WEIGHT_CALLS, WEIGHT_LINES,
     WEIGHT_NESTING,
 )
@@ -47,3 +47,24 @@ def heat_label(score: Column) -> Column:
 
 def heat_rank(label: Column) -> Column:
     return F.array_position(F.array(*[F.lit(h) for h in HEAT_RANK]), label) - 1
+
+
+def badge(score: Column) -> Column:
+    """Sign of the heat band and the score without decimals."""
+    sign = F
+    for threshold, name in HEAT_BANDS:
+        sign = sign.when(score >= threshold, F.lit(HEAT_SIGNS[name]))
+    return F.concat(sign.otherwise(F.lit(HEAT_SIGNS[HEAT_FLOOR])), F.lit(" "), F.rint(score).cast("long").cast("string"))
+
+
+def one_decimal(score: Column) -> Column:
+    """The number with one decimal nearest to the double itself, null as 0; scores are from 0 to 100.
+
+    ``round`` goes by the shortest decimal form, in which 0.35 is a tie.  Here the
+    leading bits and the rest are multiplied by ten apart, without an error.
+    """
+    leading = F.floor(score * F.lit(float(1 << 20))) / F.lit(float(1 << 20))
+    tenths = F.floor(leading * 10)
+    over = (leading * 10 - tenths - 0.5) + (score - leading) * 10
+    up = F.when(over > 0, 1).when(over < 0, 0).otherwise(tenths % 2)
+    return F.coalesce((tenths + up) / F.lit(10.0), F.lit(0.0))

@@ -13,7 +13,7 @@ from srcgraph.functions.domains import domain_table
 from srcgraph.functions.fixed import CROSS_CUTTING_MIN, MONOLITH_MIN
 from srcgraph.functions.languages import AdapterRegistry
 from srcgraph.functions.purpose import exempt_from_dead
-from srcgraph.operators import compare, graph, model, resolve, splits, usage, views
+from srcgraph.operators import compare, documents, graph, model, resolve, splits, usage, views
 from srcgraph.operators.parse import import_rows, parse_files, parse_listing, symbol_rows
 from srcgraph.sources.cache import ParseCache
 from srcgraph.sources.git import export_revision
@@ -137,6 +137,10 @@ class CodeModel:
         listed = F.array_sort(F.collect_list(F.when(text.isNotNull(), F.struct("i", text.alias("text")))))
         return counted.agg(F.concat(F.array_join(F.transform(listed, lambda p: p["text"]), ", "), F.lit(".")).alias("summary"))
 
+    def structure_tree(self) -> DataFrame:
+        """(position, depth, label) of modules, files and two levels of symbols in reading order."""
+        return documents.structure_tree(self.files, self.symbols, self.project)
+
     def graph_nodes(self) -> DataFrame:
         return views.graph_nodes(self.files, self.project, self.file_domains)
 

@@ -14,8 +14,8 @@ from srcgraph.functions.fixed import (
 )
 from srcgraph.functions.languages import BUILTIN_LANGUAGES
 from srcgraph.functions.purpose import exempt_from_dead, keyword_purpose, name_purpose, size_purpose
-from srcgraph.functions.score import file_score
-from srcgraph.operators import compare, graph, model, parse, refresh, resolve, splits, usage, views
+from srcgraph.functions.score import file_score, heat_label
+from srcgraph.operators import compare, documents, graph, model, parse, refresh, resolve, splits, usage, views
 from srcgraph.plans import derived
 from srcgraph.plans.engine import Engine
 from srcgraph.session import cut, shared_folder, spread_small
@@ -328,6 +328,111 @@ def file_purpose(spark, folder):
     return described_orders(spark, folder).select("file_path", "purpose", "heat", "n_top")
 
 
+def badge_sql(score: str) -> str:
+    return (f"CASE WHEN {score} >= 80 THEN '🔴' WHEN {score} >= 60 THEN '🟠' WHEN {score} >= 40 THEN '🟡' ELSE '🟢' END"
+            f" || ' ' || CAST(round_even({score}, 0) AS BIGINT)")
+
+
+SCORED_ORDER_SQL = f"""{ORDER_FILE_SQL},
+    raw AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS ord,
+                   CAST(l_quantity AS INT) AS lines, l_linenumber AS nesting, CAST(round(l_discount * 100) AS INT) AS branches FROM lineitem),
+    item AS (SELECT file_path, o_orderstatus AS module, ord, s.name, s.kind, s.doc, r.lines, r.nesting, r.branches, round(s.score, 6) AS score
+             FROM sym s JOIN raw r USING (l_orderkey, ord) JOIN orders ON o_orderkey = l_orderkey
+             JOIN (SELECT o_orderkey, file_path FROM described) USING (o_orderkey)),
+    leaf AS (SELECT o_orderstatus AS module, file_path, 'o' || o_orderkey || '.py' AS name, line_count, k, heat, purpose,
+                    round(complexity, 6) AS score FROM described)"""
+
+
+def scored_orders(spark, folder):
+    """Orders as described files and line items as their scored symbols, scores to six decimals."""
+    files, symbols = order_files(spark, folder)
+    scored = model.score_symbols(symbols)
+    described = model.describe_files(files.drop("o_orderkey"), model.symbol_summary(scored))
+    exact = F.round("complexity", 6)
+    # like the SQL, labels of heat go by the score before it is rounded
+    return described.withColumn("complexity", exact), scored.withColumn("complexity", exact)
+
+
+@query("structure_tree", f"""WITH {SCORED_ORDER_SQL},
+    node AS (SELECT '' AS module, '' AS file_path, -1 AS ord, 0 AS depth, '🌳 orders' AS label
+             UNION ALL SELECT module, '', -1, 1, '📁 ' || module || '/  (' || count(*) || ' files, ' || CAST(sum(line_count) AS BIGINT) || ' lines)'
+                       FROM leaf GROUP BY module
+             UNION ALL SELECT module, file_path, -1, 2, '📄 ' || name || '  ' || {badge_sql("score")} || '  ' || line_count || 'L / ' || k || ' symbols  ' || purpose FROM leaf
+             UNION ALL SELECT module, file_path, ord, 3, CASE kind WHEN 'class' THEN '🔷 ' ELSE '🔹 ' END || name || '  ' || {badge_sql("score")} || '  L1-' || lines FROM item)
+    SELECT row_number() OVER (ORDER BY module, file_path, ord) AS position, depth, label FROM node""")
+def structure_tree(spark, folder):
+    files, symbols = scored_orders(spark, folder)
+    return documents.structure_tree(files, symbols, "orders").select(F.col("position").cast("long").alias("position"), "depth", "label")
+
+
+def tenth_sql(score: str) -> str:
+    return f"CAST(printf('%.1f', {score}) AS DOUBLE)"
+
+
+def file_list_sql(rank: int, name: str, source: str, entry: str, place: str) -> str:
+    """Lines of one list of each file: its begin, its entries, its end."""
+    at = f"module, 1, 1, name, {rank}"
+    return (f"UNION ALL SELECT DISTINCT 2, 1, {at}, 0, '', 0, '\"{name}\":[' FROM {source}"
+            f" UNION ALL SELECT 2, 1, {at}, 1, {place}, {entry} FROM {source}"
+            f" UNION ALL SELECT DISTINCT 2, 1, {at}, 9, '', 0, ']' FROM {source}")
+
+
+SYMBOL_JSON_SQL = f"""'name', i.name, 'kind', i.kind, 'line_start', 1, 'line_end', lines, 'line_count', lines, 'complexity', {tenth_sql("score")},
+    'heat', i.heat, 'nesting_depth', nesting, 'branch_count', branches"""
+
+
+@query("project_lines", f"""WITH {SCORED_ORDER_SQL},
+    sym_item AS (SELECT module, split_part(file_path, '/', 2) AS name, ord, CASE WHEN i.doc IS NULL THEN CAST(json_object({SYMBOL_JSON_SQL}) AS VARCHAR)
+                 ELSE CAST(json_object({SYMBOL_JSON_SQL}, 'docstring', i.doc) AS VARCHAR) END AS json
+                 FROM (SELECT *, {heat_sql("score")} AS heat FROM item) i),
+    raw_item AS (SELECT module, split_part(file_path, '/', 2) AS name, ord, CAST(to_json(i.name) AS VARCHAR) AS json FROM item i),
+    pair AS (SELECT file_path AS src, lag(file_path) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS dst FROM described),
+    needs AS (SELECT split_part(src, '/', 1) AS module, split_part(src, '/', 2) AS name, CAST(to_json(dst) AS VARCHAR) AS json FROM pair WHERE dst IS NOT NULL),
+    needed AS (SELECT split_part(dst, '/', 1) AS module, split_part(dst, '/', 2) AS name, src, CAST(to_json(src) AS VARCHAR) AS json FROM pair WHERE dst IS NOT NULL),
+    tag AS (SELECT o_orderstatus AS module, 'o' || o_orderkey || '.py' AS name, CAST(to_json(o_orderpriority) AS VARCHAR) AS json FROM orders),
+    hot AS (SELECT row_number() OVER (ORDER BY score DESC, file_path, ord) AS rank, *, {heat_sql("score")} AS heat FROM item ORDER BY rank LIMIT 10),
+    line(a, m0, m, b, f0, f, l, e, x, o, text) AS (
+        SELECT 0, 0, '', 0, 0, '', 0, 0, '', 0, rtrim(CAST(json_object('name', 'orders', 'path', '/orders', 'metadata', json_object('total_files', count(*),
+               'avg_complexity', {tenth_sql("avg(score)")}, 'max_complexity_score', {tenth_sql("max(score)")})) AS VARCHAR), '}}') || '}}' FROM leaf
+        UNION ALL SELECT 2, 0, '', 0, 0, '', 0, 0, '', 0, '"modules":['
+        UNION ALL SELECT 2, 9, '', 0, 0, '', 0, 0, '', 0, ']'
+        UNION ALL SELECT 3, 0, '', 0, 0, '', 0, 0, '', 0, '"hotspots":['
+        UNION ALL SELECT 3, 1, '', 0, 0, '', 0, 0, '', rank, CAST(json_object('rank', rank, 'file', file_path, 'symbol', name, 'kind', kind, 'language', 'Python',
+               'complexity', {tenth_sql("score")}, 'heat', heat, 'line_start', 1, 'line_end', lines, 'line_count', lines) AS VARCHAR) FROM hot
+        UNION ALL SELECT 3, 9, '', 0, 0, '', 0, 0, '', 0, ']'
+        UNION ALL SELECT 9, 0, '', 0, 0, '', 0, 0, '', 0, '}}'
+        UNION ALL SELECT 2, 1, module, 0, 0, '', 0, 0, '', 0, rtrim(CAST(json_object('name', module, 'relative_path', module, 'total_files', count(*),
+               'total_lines', CAST(sum(line_count) AS BIGINT), 'total_symbols', CAST(sum(k) AS BIGINT), 'avg_complexity', {tenth_sql("avg(score)")}) AS VARCHAR), '}}')
+               FROM leaf GROUP BY module
+        UNION ALL SELECT DISTINCT 2, 1, module, 1, 0, '', 0, 0, '', 0, '"files":[' FROM leaf
+        UNION ALL SELECT DISTINCT 2, 1, module, 1, 9, '', 0, 0, '', 0, ']' FROM leaf
+        UNION ALL SELECT DISTINCT 2, 1, module, 9, 0, '', 0, 0, '', 0, '}}' FROM leaf
+        UNION ALL SELECT 2, 1, module, 1, 1, name, 0, 0, '', 0, rtrim(CAST(json_object('name', name, 'relative_path', file_path, 'line_count', line_count,
+               'symbol_count', k, 'complexity', {tenth_sql("score")}, 'heat', heat, 'purpose', purpose, 'language', 'Python') AS VARCHAR), '}}') FROM leaf
+        UNION ALL SELECT 2, 1, module, 1, 1, name, 9, 0, '', 0, '}}' FROM leaf
+        {file_list_sql(1, "symbols", "sym_item", "json", "'', ord")} {file_list_sql(2, "raw_imports", "raw_item", "json", "'', ord")}
+        {file_list_sql(3, "dependencies", "needs", "json", "'', 0")} {file_list_sql(4, "dependents", "needed", "json", "src, 0")}
+        {file_list_sql(5, "domains", "tag", "json", "'', 0")}),
+    numbered AS (SELECT *, row_number() OVER (ORDER BY a, m0, m, b, f0, f, l, e, x, o) AS position FROM line)
+    SELECT position, CASE WHEN position > 1 AND left(text, 1) NOT IN (']', '}}')
+           AND NOT lag(text) OVER (ORDER BY position) LIKE '%[' THEN ',' ELSE '' END || text AS text FROM numbered""")
+def project_lines(spark, folder):
+    files, symbols = scored_orders(spark, folder)
+    symbols = symbols.withColumn("language", F.lit("Python")).withColumn("heat", heat_label(F.col("complexity")))
+    # a file imports what its lines name, and depends on the customer's order before
+    named = symbols.select("file_path", F.col("top_ord").alias("pos"), F.col("name").alias("raw"))
+    orders = table(spark, folder, "orders").withColumn("file_path", F.concat_ws(
+        "/", "o_orderstatus", F.concat(F.lit("o"), F.col("o_orderkey").cast("string"), F.lit(".py"))))
+    before = F.lag("file_path").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    edges = orders.select(F.col("file_path").alias("src"), before.alias("dst"), F.lit(0).alias("pos")).where("dst IS NOT NULL")
+    totals = files.agg(F.count(F.lit(1)).alias("total_files"), F.avg("complexity").alias("avg_complexity"),
+                       F.max("complexity").alias("max_complexity_score"))
+    hot = model.hotspots(symbols, 10, ["file_path", "top_ord", "sub_ord"]).withColumnRenamed("name", "symbol")
+    return documents.project_lines("orders", "/orders", files, symbols, named, edges,
+                                   orders.select("file_path", F.col("o_orderpriority").alias("domain")), totals, hot).select(
+        F.col("position").cast("long").alias("position"), "text")
+
+
 @query("purpose_report", f"""WITH {ORDER_FILE_SQL}
     SELECT purpose, count(*) AS n_files, round(max(complexity), 6) AS worst FROM described WHERE purpose IS NOT NULL GROUP BY 1""")
 def purpose_report(spark, folder):
