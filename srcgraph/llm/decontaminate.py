@@ -21,6 +21,7 @@ are repeated rows; of equally similar windows the first is named.
 """
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
@@ -37,6 +38,7 @@ SHINGLE = 5
 RADIUS = 20
 SIMILARITY = 0.8
 MAX_ITEM_BYTES = 16 << 20
+BLOCK = 1 << 14
 SCHEMA = "doc_id long, item_id long, start_word long, n_words long, hamming int, similarity double"
 TOKEN = re.compile(r"[0-9a-z\u0080-\U0010ffff]+")
 
@@ -133,23 +135,29 @@ class Items:
         return low / high
 
     def matches(self, hashes: np.ndarray, hits: np.ndarray, item: int, similarity: float) -> list[tuple[int, int, float]]:
-        """Best window (start, hamming, similarity) around each run of hits of one item in one text."""
+        """Windows (start, hamming, similarity) at or over the similarity that do not overlap, the best first taken, of equal ones the first."""
         _, n, k, grams = self.items[item]
         m, out = len(grams), []
         hits = np.unique(hits)
         for run in np.split(hits, np.flatnonzero(np.diff(hits) >= n) + 1):
             first, last = max(0, int(run[0]) - m + 1), min(int(run[-1]), len(hashes) - n)
-            if last < first:
-                continue
-            _, local = windows(hashes[first:last + n], np.array([0, last + n - first]), k)
-            prints = self.fingerprints(local, m)
-            best = None
-            for i in np.flatnonzero(self.near(prints, item) | self.reach(local, item, similarity)).tolist():
-                s = self.similarity(local[i:i + m].tolist(), item)
-                if s >= similarity and (best is None or s > best[2]):
-                    best = (first + i, int(self.distance(prints[i:i + 1], item)[0]), s)
-            if best:
-                out.append(best)
+            found = []
+            # a run may be as long as the text, its fingerprints are held for one block of windows
+            for low in range(first, last + 1, BLOCK):
+                high = min(low + BLOCK - 1, last)
+                _, local = windows(hashes[low:high + n], np.array([0, high + n - low]), k)
+                prints = self.fingerprints(local, m)
+                distance = self.distance(prints, item)
+                for i in np.flatnonzero(self.near(prints, item) | self.reach(local, item, similarity)).tolist():
+                    s = self.similarity(local[i:i + m].tolist(), item)
+                    if s >= similarity:
+                        found.append((low + i, int(distance[i]), s))
+            taken = []
+            for start, gap, s in sorted(found, key=lambda x: (-x[2], x[0])):
+                at = bisect.bisect(taken, start)
+                if (at == 0 or start - taken[at - 1] >= n) and (at == len(taken) or taken[at] - start >= n):
+                    taken.insert(at, start)
+                    out.append((start, gap, s))
         return out
 
     def search(self, texts: Texts, similarity: float) -> list[tuple]:
@@ -212,7 +220,7 @@ def repeated_shingles(benchmark: DataFrame) -> tuple[int, np.ndarray, np.ndarray
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS,
           limit: int = MAX_ITEM_BYTES) -> DataFrame:
-    """One row per document, item and separate place: the best window there."""
+    """One row per document, item and place: windows that do not overlap, the most similar taken first."""
     out = docs.sparkSession.createDataFrame([], SCHEMA)
     counts = repeated_shingles(benchmark)
     for rows in chunks(benchmark, limit):

@@ -134,6 +134,22 @@ def test_chunks_do_not_change_similarities(spark):
     assert len(whole) >= len(items) and parts == whole
 
 
+def test_every_place_is_reported(spark):
+    """Copies side by side, more of them than a block of windows holds, and one with a change, each once."""
+    item = [f"word{i}" for i in range(20)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    many = 2 * decontaminate.BLOCK // 20 + 3
+    rows = [(0, " ".join(item * 2)), (1, " ".join(["x", *item, *(f"y{i}" for i in range(50)), *item])), (2, " ".join(item * many)),
+            (3, " ".join([*item, *item[:-1], "changed", *item]))]
+    got = {}
+    for r in decontaminate.leaks(table(spark, rows), bench).collect():
+        got.setdefault(r.doc_id, []).append((r.start_word, r.similarity))
+    assert sorted(got[0]) == [(0, 1.0), (20, 1.0)] and sorted(got[1]) == [(1, 1.0), (71, 1.0)]
+    assert sorted(got[2]) == [(20 * i, 1.0) for i in range(many)]
+    assert [s for s, _ in sorted(got[3])] == [0, 20, 40] and min(got[3], key=lambda x: x[1])[0] == 20
+    assert {r.doc_id: r.n_places for r in decontaminate.contaminated(table(spark, rows), bench).collect()} == {0: 2, 1: 2, 2: many, 3: 3}
+
+
 def test_rare_endings_of_a_common_template_are_found(spark):
     """Items that differ in the last word only: similarity 0.85 by weight, but fingerprints far apart."""
     template = " ".join(f"word{i}" for i in range(69))
