@@ -1,12 +1,15 @@
 """Queries over edge tables (src, dst): degrees, cycles, reachability, components."""
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from srcgraph.operators.ranks import ranked
 from srcgraph.operators.skew import salted_join
 from srcgraph.session import BROADCAST_ROWS, cut
 
+HOT_ARCS = 20_000  # arcs into one node that stay together; more are dealt over several slots
+
 
 def dependents(edges: DataFrame) -> DataFrame:
     """Number of distinct files pointing at each file."""
@@ -96,6 +99,72 @@ def impact_summary(reached: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total"), F.max("hop").alias("max_depth"))
 
 
+def reach_sizes(edges: DataFrame, direction: str, depth: int | None = None, hot_arcs: int = HOT_ARCS) -> DataFrame:
+    """(node, hop, nodes): how many nodes lie exactly ``hop`` away from every node, for all nodes at once.
+
+    Nodes are numbered, and what a node reaches is a sparse bit set: one row
+    (node, word) per 64 numbers that hold a reached one.  A hop hands the bits
+    that are new at a node to all nodes with an arc to it, and one grouping by
+    (node, word) joins them with the bits seen before.  The arcs are dealt by
+    their far end once and stay there; a far end with more than ``hot_arcs``
+    arcs has several slots, and its bits go to each.  Null ends and arcs from a
+    node to itself count for nothing; an empty table gives no rows.
+    """
+    spark = edges.sparkSession
+    near, far = ("src", "dst") if direction == "downstream" else ("dst", "src")
+    pairs, _ = cut(edges.select(F.col(near).alias("node"), F.col(far).alias("next")).where("node <> next").distinct())
+    ends = pairs.select(F.explode(F.array("node", "next")).alias("node")).distinct().withColumn("_all", F.lit(0))
+    incoming = pairs.groupBy(F.col("next").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    numbered, _ = cut(ranked(ends, ["_all"], ["node"], "id").join(incoming, "node", "left").select(
+        "node", "id", F.ceil(F.greatest(F.coalesce("n", F.lit(1)), F.lit(1)) / hot_arcs).cast("int").alias("slots")))
+    begin = numbered.select("node", F.col("id").alias("from"), F.col("slots").alias("from_slots"))
+    end = numbered.select(F.col("node").alias("next"), F.col("id").alias("to"), "slots")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    arcs = (pairs.join(begin, "node").join(end, "next")
+            .select("to", F.pmod(F.xxhash64("from"), F.col("slots")).cast("int").alias("slot"), "from", "from_slots")
+            .repartition(tasks, "to", "slot").persist(StorageLevel.DISK_ONLY))
+    bit = F.expr("shiftleft(1L, cast(id % 64 as int))")
+    state, seen = cut(numbered.select(F.col("id").alias("at"), F.expr("id div 64").alias("word"), "slots",
+                                      bit.alias("seen"), bit.alias("fresh")))
+    hop, layers, moving = 0, [], seen["n"]
+    while moving and (depth is None or hop < depth):
+        hop += 1
+        moved = state.where("fresh <> 0").select(
+            F.col("at").alias("to"), F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), "word", "fresh")
+        came = arcs.join(moved, ["to", "slot"]).select(
+            F.col("from").alias("at"), "word", F.col("from_slots").alias("slots"), F.lit(0).cast("long").alias("seen"), F.col("fresh").alias("came"))
+        merged = state.select("at", "word", "slots", "seen", F.lit(0).cast("long").alias("came")).unionByName(came).groupBy("at", "word").agg(
+            F.max("slots").alias("slots"), F.bit_or("seen").alias("seen"), F.bit_or("came").alias("came"))
+        fresh = F.col("came").bitwiseAND(F.bitwise_not("seen"))
+        state, seen = cut(merged.select("at", "word", "slots", F.col("seen").bitwiseOR(F.col("came")).alias("seen"), fresh.alias("fresh")),
+                          F.coalesce(F.sum((F.col("fresh") != 0).cast("long")), F.lit(0)).alias("moving"))
+        moving = seen["moving"]
+        layers.append(state.where("fresh <> 0").groupBy("at").agg(F.sum(F.bit_count("fresh").cast("long")).alias("nodes")).withColumn("hop", F.lit(hop)))
+    arcs.unpersist()
+    out = state.where("false").select("at", F.lit(0).cast("long").alias("nodes"), F.lit(0).alias("hop"))
+    for layer in layers:
+        out = out.unionByName(layer)
+    return out.join(numbered.select("node", F.col("id").alias("at")), "at").select("node", "hop", "nodes")
+
+
+def impact_sizes(edges: DataFrame, depth: int | None = None, directions=("upstream", "downstream"), hot_arcs: int = HOT_ARCS) -> DataFrame:
+    """(direction, node, direct, indirect, total, max_depth) of every node with an edge, up to ``depth`` hops.
+
+    The summary of ``reach`` for all nodes; one that reaches nothing has zeros.
+    """
+    nodes = edges.where("src <> dst").select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    out = None
+    for direction in directions:
+        part = nodes.select("node", F.lit(0).alias("hop"), F.lit(0).cast("long").alias("nodes")).unionByName(
+            reach_sizes(edges, direction, depth, hot_arcs)).withColumn("direction", F.lit(direction))
+        out = part if out is None else out.unionByName(part)
+
+    def n(condition):
+        return F.sum(F.when(condition, F.col("nodes")).otherwise(0))
+    return out.groupBy("direction", "node").agg(
+        n(F.col("hop") == 1).alias("direct"), n(F.col("hop") > 1).alias("indirect"), F.sum("nodes").alias("total"), F.max("hop").alias("max_depth"))
+
+
 def blast_radius(edges: DataFrame) -> DataFrame:
     """Per node: number of distinct direct neighbours in either direction."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))

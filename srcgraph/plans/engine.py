@@ -150,6 +150,10 @@ class CodeModel:
     def impact(self, path: str, directions=("upstream", "downstream"), max_depth: int | None = None) -> DataFrame:
         return graph.reach(self.edges, path, directions, max_depth)
 
+    def impact_sizes(self, max_depth: int | None = None) -> DataFrame:
+        """(direction, node, direct, indirect, total, max_depth): the impact of every file that has an edge."""
+        return graph.impact_sizes(self.edges, max_depth)
+
     def symbol_impact(self, path: str, symbol: str) -> DataFrame:
         return self.usages.where((F.col("def_file") == path) & (F.col("symbol") == symbol)).orderBy("use_file", "line")
 

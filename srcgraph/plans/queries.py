@@ -726,6 +726,25 @@ def impact_full(spark, folder):
     return graph.impact_summary(graph.reach(customer_edges(spark, folder), first_customer(spark, folder)))
 
 
+def sizes_sql(direction: str) -> str:
+    near, far = ("dst", "src") if direction == "upstream" else ("src", "dst")
+    return f"""SELECT '{direction}' AS direction, n.node, count(*) FILTER (hop = 1) AS direct, count(*) FILTER (hop > 1) AS indirect,
+               count(hop) AS total, coalesce(max(hop), 0) AS max_depth
+        FROM (SELECT src AS node FROM edge UNION SELECT dst FROM edge) n LEFT JOIN (
+            SELECT start, node, min(hop) AS hop FROM (
+                SELECT {near} AS start, {far} AS node, 1 AS hop FROM edge
+                UNION SELECT a.{near}, b.{far}, 2 FROM edge a JOIN edge b ON a.{far} = b.{near}
+                UNION SELECT a.{near}, c.{far}, 3 FROM edge a JOIN edge b ON a.{far} = b.{near} JOIN edge c ON b.{far} = c.{near})
+            WHERE start <> node GROUP BY start, node) r ON r.start = n.node
+        GROUP BY n.node"""
+
+
+@query("impact_sizes", f"WITH {customer_edge_sql()} {sizes_sql('upstream')} UNION ALL {sizes_sql('downstream')}")
+def impact_sizes(spark, folder):
+    """How many customers every customer reaches within three hops, in either direction."""
+    return graph.impact_sizes(customer_edges(spark, folder), 3)
+
+
 @query("impact_short_list", f"""WITH RECURSIVE {customer_edge_sql()}, {UP_CTE}, {DOWN_CTE}, r AS ({UP_SQL} UNION ALL {DOWN_SQL})
     SELECT direction, hop, array_to_string(list(node ORDER BY node)[1:3], ',') AS nodes, greatest(count(*) - 3, 0) AS more
     FROM r WHERE hop <= 4 GROUP BY direction, hop""")

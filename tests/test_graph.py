@@ -56,6 +56,23 @@ def test_random_graph(spark, seed, broadcast_rows):
     assert found == expected
 
 
+@pytest.mark.parametrize("depth,hot_arcs", [(None, 20_000), (2, 7), (0, 7)])
+def test_impact_sizes_of_all_nodes(spark, depth, hot_arcs):
+    """Every node's counts agree with a plain search from it: hub in several slots, more nodes than one word, loops, nulls."""
+    rng = random.Random(9)
+    pairs = [(str(rng.randint(0, 150)), str(rng.randint(0, 150))) for _ in range(220)]
+    pairs += [(str(i), "hub") for i in range(0, 60)] + [("hub", "3"), ("hub", "hub")] + pairs[:5]
+    frame = spark.createDataFrame(pairs + [(None, "3"), ("4", None)], "src string, dst string")
+    found = {(r.direction, r.node): (r.direct, r.indirect, r.total, r.max_depth) for r in graph.impact_sizes(frame, depth, hot_arcs=hot_arcs).collect()}
+    wanted = {}
+    for direction, arcs in (("downstream", pairs), ("upstream", [(d, s) for s, d in pairs])):
+        for node in {n for pair in pairs if pair[0] != pair[1] for n in pair}:
+            hops = [h for h in plain_bfs(arcs, node).values() if depth is None or h <= depth]
+            wanted[direction, node] = (hops.count(1), sum(h > 1 for h in hops), len(hops), max(hops, default=0))
+    assert found == wanted
+    assert graph.impact_sizes(frame.where("false"), depth).count() == 0
+
+
 def test_degrees_cycles_isolated(spark):
     edges = edges_of(spark, CYCLE + [("d", "b"), ("e", "b"), ("d", "b")])
     assert {r.file_path: r.dependents for r in graph.dependents(edges).collect()} == {"a": 2, "b": 3, "c": 1}
