@@ -15,9 +15,10 @@ from srcgraph.functions.languages import AdapterRegistry
 from srcgraph.functions.purpose import exempt_from_dead
 from srcgraph.operators import compare, documents, graph, model, resolve, splits, usage, views
 from srcgraph.operators.parse import import_rows, parse_files, parse_listing, symbol_rows
+from srcgraph.session import cut
 from srcgraph.sources.cache import ParseCache
-from srcgraph.sources.git import export_revision
-from srcgraph.sources.scan import detect_languages, scan_sources, with_text
+from srcgraph.sources.git import blob_id, revision_sources, with_blob_text
+from srcgraph.sources.scan import detect_languages, read_content, scan_sources, with_text
 
 
 @dataclass
@@ -194,10 +195,39 @@ class Engine:
         return self.registry.frame(self.spark).select(
             "adapter", F.array_sort(F.transform("extensions", lambda e: F.concat(F.lit("."), e))).alias("extensions"))
 
-    def diff(self, old_root: str, new_root: str, lang: str | None = None) -> DataFrame:
-        old, new = (self.analyze(r, lang=lang).files.select("file_path", "complexity") for r in (old_root, new_root))
-        return compare.diff_order(compare.diff_files(old, new))
+    def analyze_revision(self, repository: str, ref: str, top_n: int = 10, lang: str | None = None,
+                         ignore: list[str] | None = None) -> CodeModel:
+        """Analyse a git revision; ``repository`` is a folder all executors see."""
+        listing = revision_sources(self.spark, repository, ref, self.registry, lang, ignore)
+        return self._blobs(listing, repository, top_n)
+
+    def _blobs(self, listing: DataFrame, repository: str, top_n: int = 10) -> CodeModel:
+        parsed = parse_listing(listing, partial(with_blob_text, repository=repository), self.registry)
+        return self._model(parsed, os.path.basename(repository.rstrip("/")), top_n, None)
 
-    def diff_revision(self, repository: str, ref: str, lang: str | None = None,
-                      folder: str | None = None) -> DataFrame:
-        return self.diff(export_revision(repository, ref, folder, self.spark), repository, lang)
+    def diff(self, old_root: str, new_root: str, lang: str | None = None) -> DataFrame:
+        return self.diff_models(self.analyze(old_root, lang=lang), self.analyze(new_root, lang=lang))
+
+    def diff_models(self, old: CodeModel, new: CodeModel) -> DataFrame:
+        return compare.diff_order(compare.diff_files(*(m.files.select("file_path", "complexity") for m in (old, new))))
+
+    def diff_revision(self, repository: str, ref: str, lang: str | None = None, other: str | None = None) -> DataFrame:
+        """A revision against the working tree, or against the revision ``other``.
+
+        Files of the same path and blob are the same and are never parsed.  The
+        working tree is read once for its blob ids, changed files once more.
+        """
+        was, _ = cut(revision_sources(self.spark, repository, ref, self.registry, lang))
+        if other is None:
+            listing = scan_sources(self.spark, repository, self.registry, lang, content=False)
+            now, _ = cut(read_content(listing, repository).select(*listing.columns, blob_id(F.col("content")).alias("blob")))
+        else:
+            now, _ = cut(revision_sources(self.spark, repository, other, self.registry, lang))
+        same = ["file_path", "blob"]
+        before = self._blobs(was.join(now.select(*same), same, "left_anti"), repository)
+        changed = now.join(was.select(*same), same, "left_anti")
+        if other is None:
+            after = self._model(parse_listing(changed, partial(with_text, root=repository), self.registry), before.project, 10, None)
+        else:
+            after = self._blobs(changed, repository)
+        return self.diff_models(before, after)

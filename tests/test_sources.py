@@ -11,7 +11,7 @@ from srcgraph.operators.parse import register_table_function
 from srcgraph.plans import payloads
 from srcgraph.plans.engine import Engine
 from srcgraph.sources.cache import ParseCache
-from srcgraph.sources.git import export_revision
+from srcgraph.sources.git import list_revision
 from srcgraph.sources.scan import IGNORE_FILE, detect_languages, ignored, list_files, load_ignore_patterns, scan_sources, snapshot, with_text
 from srcgraph.streaming.watch import Watcher, state_changes
 
@@ -207,9 +207,56 @@ def test_diff_against_a_revision(spark, tmp_path):
     assert rows == {"a.py": "MODIFIED", "b.py": "DELETED", "c.py": "ADDED"}
     for bad in ("nothing-here", "--output=/tmp/x"):
         with pytest.raises(ValueError):
-            export_revision(str(root), bad)
+            list_revision(spark, str(root), bad)
     with pytest.raises(ValueError):
-        export_revision(str(tmp_path), "HEAD")
+        list_revision(spark, str(tmp_path), "HEAD")
+
+
+def test_revisions_as_tables(spark, tmp_path, monkeypatch):
+    """Every file of a revision is listed once, whatever its folder; only changed blobs are parsed."""
+    from srcgraph.plans import engine as plans
+    from srcgraph.sources import git as source
+    root = tmp_path / "repo"
+    files = {f"d{i % 3}/e{i % 2}/f/g/m{i}.py": f"def f{i}():\n    return {i}\n" for i in range(12)}
+    files |= {"top.py": "import os\r\n", "empty.py": "", "d0/ü b.py": "x = 1\n", "d0/e0/node_modules/x.js": "function f() {\n}\n", "a.txt": "t"}
+    write(root, files)
+    os.symlink("../d0/ü b.py", root / "d0" / "link.py")
+    os.symlink("nowhere.py", root / "lost.py")
+    git = ["git", "-c", "user.name=t", "-c", "user.email=t@example.org", "-c", "core.autocrlf=false"]
+    for args in (["init", "-q"], ["add", "-A"], ["commit", "-qm", "one"]):
+        subprocess.run([*git, *args], cwd=root, check=True)
+    listed = list_revision(spark, str(root), "HEAD")
+    files["d0/link.py"] = files["d0/ü b.py"]
+    assert sorted((r.file_path, r.size) for r in listed.collect()) == sorted((p, len(t.encode())) for p, t in files.items())
+    ids = listed.join(with_text_ids(spark, root), "file_path").where("blob = here").count()
+    assert ids == len(files)
+    first = {r.file_path: r.line_count for r in Engine(spark).analyze_revision(str(root), "HEAD").files.collect()}
+    assert len(first) == 16 and first["d0/e0/f/g/m0.py"] == 3 and first["empty.py"] == Engine(spark).analyze(str(root)).files.where(
+        "file_path = 'empty.py'").first().line_count
+    write(root, {"d1/e1/f/g/m1.py": "def f1():\n" + "    if x:\n        y()\n" * 9, "new.py": "y = 1\n"})
+    os.remove(root / "top.py")
+    subprocess.run([*git, "add", "-A"], cwd=root, check=True)
+    subprocess.run([*git, "commit", "-qm", "two"], cwd=root, check=True)
+    parsed, parse = [], plans.parse_listing
+    monkeypatch.setattr(plans, "parse_listing", lambda listing, *rest: parsed.extend(r.file_path for r in listing.collect()) or parse(listing, *rest))
+    engine = Engine(spark)
+    wanted = {"d1/e1/f/g/m1.py": "MODIFIED", "top.py": "DELETED", "new.py": "ADDED"}
+    for other in (None, "HEAD"):
+        parsed.clear()
+        assert {r.file_path: r.status for r in engine.diff_revision(str(root), "HEAD~1", other=other).collect()} == wanted
+        assert sorted(parsed) == ["d1/e1/f/g/m1.py", "d1/e1/f/g/m1.py", "new.py", "top.py"]
+    whole = engine.diff_models(engine.analyze_revision(str(root), "HEAD~1"), engine.analyze(str(root)))
+    assert [tuple(r) for r in whole.collect()] == [tuple(r) for r in engine.diff_revision(str(root), "HEAD~1").collect()]
+    assert engine.diff_revision(str(root), "HEAD").count() == 0
+    short = source.TreeReader(str(root), source.tree_of(str(root), "HEAD"))
+    monkeypatch.setattr(source, "ENOUGH_FOLDERS", 1)
+    assert [p.deep for p in short.partitions()] == [True]
+
+
+def with_text_ids(spark, root):
+    from srcgraph.sources.git import blob_id
+    from srcgraph.sources.scan import read_content
+    return read_content(list_files(spark, str(root)), str(root)).select("file_path", blob_id(F.col("content")).alias("here"))
 
 
 def test_watcher_sees_every_kind_of_change(spark, tmp_path):
