@@ -63,6 +63,12 @@ def cut(frame: DataFrame, *metrics) -> tuple[DataFrame, dict]:
     return spark.read.schema(frame.schema).parquet(path), seen.get
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as Spark's own readers see it: one without a scheme lies in Hadoop's default file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toString()
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Remove a table that nothing reads any more, in whatever store it lies."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -281,12 +281,48 @@ def test_watcher_as_a_stream(spark, tmp_path):
     write(root, {"b.py": "2\n"})
     running = watcher.start("500 milliseconds")
     deadline = time.time() + 60
-    while time.time() < deadline and not os.path.exists(tmp_path / "state" / "events" / "_SUCCESS"):
+    while time.time() < deadline and watcher.events().isEmpty():
         time.sleep(0.5)
     running.stop()
     assert [(r.path, r.change) for r in watcher.events().collect()] == [("b.py", "added")]
 
 
+def test_changes_as_a_source(spark, tmp_path):
+    """Batches follow the versions of the log; a stopped reader goes on where it was, a second one sees everything."""
+    root, out = tmp_path / "src", tmp_path / "out"
+    write(root, {"a.py": "1\n", "b.py": "2\n"})
+    watcher = Watcher(spark, str(root), str(tmp_path / "state"))
+
+    def run(name):
+        query = (watcher.stream().select("path", "change").writeStream.format("parquet").trigger(once=True)
+                 .option("checkpointLocation", str(out / f"{name}-checkpoint")).start(str(out / name)))
+        query.awaitTermination()
+        return sorted((r.path, r.change) for r in spark.read.schema("path string, change string").parquet(str(out / name)).collect())
+    watcher.step(0)
+    write(root, {"a.py": "longer\n"})
+    watcher.step(1)
+    first = [("a.py", "changed")]
+    assert run("one") == first and run("one") == first
+    os.remove(root / "b.py")
+    watcher.step(2)
+    write(root, {"c.py": "3\n"})
+    Watcher(spark, str(root), str(tmp_path / "state")).step(3)
+    whole = [("a.py", "changed"), ("b.py", "removed"), ("c.py", "added")]
+    assert run("one") == whole and run("two") == whole and watcher.step(4) is None
+
+
+def test_paths_without_a_scheme(spark):
+    """They lie in the default file system, as for Spark's own readers."""
+    from srcgraph.session import qualified
+    settings = spark._jsc.hadoopConfiguration()
+    before = settings.get("fs.defaultFS")
+    try:
+        settings.set("fs.defaultFS", "hdfs://127.0.0.1:9")
+        assert qualified(spark, "/a/b") == "hdfs://127.0.0.1:9/a/b" and qualified(spark, "file:///a/b").startswith("file:/")
+    finally:
+        settings.set("fs.defaultFS", before)
+
+
 def test_state_changes_over_batches(spark, tmp_path):
     source, state = str(tmp_path / "in"), str(tmp_path / "state")
     schema = "path string, mtime long, size long"
