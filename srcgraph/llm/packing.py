@@ -27,6 +27,7 @@ from srcgraph.llm.tokens import default_path, encoder
 CAPACITY = 4096
 END_ID = 1
 SHARD_TOKENS = 48 << 20
+SHARD_PIECES = 1_000_000
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -99,7 +100,10 @@ def pack(table: DataFrame, shards: int, capacity: int = CAPACITY) -> DataFrame:
 
 
 def best_fit(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None,
-             shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """Every piece of every document with its place in a sequence."""
+             shard_tokens: int = SHARD_TOKENS, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+    """Every piece of every document with its place in a sequence.
+
+    A shard has about ``shard_tokens`` tokens and ``shard_pieces`` pieces at most, so many empty texts fill no task.
+    """
     found, seen = cut(pieces(docs, capacity, vocabulary), F.sum("length").alias("tokens"))
-    return pack(found, max(1, -(-int(seen["tokens"] or 0) // shard_tokens)), capacity)
+    return pack(found, max(1, -(-int(seen["tokens"] or 0) // shard_tokens), -(-seen["n"] // shard_pieces)), capacity)

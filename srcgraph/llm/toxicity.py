@@ -205,7 +205,8 @@ def learn_lexicon(sample: DataFrame, counts: dict[int, int], size: int = LEXICON
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict:
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "toxic")
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(
+        "doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
     total = {int(r[0] > 0): r[1] for r in known.groupBy("toxic").count().collect()}
     chosen = labelled_sample(known, "toxic", per_class)
     # a tenth is a hash digit: 0-3 lexicon, 4-9 trees and calibration

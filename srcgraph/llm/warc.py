@@ -33,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from srcgraph.llm.tables import cut, shared_folder
+from srcgraph.session import qualified
 
 SPLIT_BYTES = 4 << 20
 # Read tasks; with more ranges than that a task has several.
@@ -71,7 +72,11 @@ def member(data: bytes, level: int = 6) -> bytes:
 
 
 def write(pages: DataFrame, folder: str, least_payload: int = 0) -> DataFrame:
-    """Write archives of (page_id, url, html) below ``folder``; (path, size, records) of each file."""
+    """Write archives of (page_id, url, html) below ``folder``; (path, size, records) of each file.
+
+    Rows with the same payload and the same largest page_id are all responses.
+    """
+    folder = qualified(pages.sparkSession, folder)
     payloads = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     payloads = payloads.withColumn("digest", F.sha1(F.col("html").cast("binary")))
     # the largest id of each payload that occurs twice; all others stand alone
@@ -105,8 +110,10 @@ def write(pages: DataFrame, folder: str, least_payload: int = 0) -> DataFrame:
 
 
 def ranges(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """(path, size, begin, end): byte ranges of the files."""
-    return files.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)),
+    """(path, size, begin, end): byte ranges of the files; a path without a scheme lies in the default file system."""
+    store = files.sparkSession._jsc.hadoopConfiguration().get("fs.defaultFS").rstrip("/")
+    path = F.when(F.col("path").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.col("path")).otherwise(F.concat(F.lit(store), "path")).alias("path")
+    return files.select(path, "size", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)),
                                                              F.lit(split_bytes).cast("long"))).alias("begin")).select(
         "path", "size", "begin", F.least(F.col("begin") + split_bytes, F.col("size")).alias("end"))
 

@@ -188,7 +188,14 @@ def test_packing(spark):
         for n, at in enumerate(range(0, len(ids), 4096)):
             part = np.array(ids[at:at + 4096], "<u4")
             want[doc, n] = (at, len(part), zlib.crc32(part.tobytes()))
+    many = packing.best_fit(table(spark, rows), shard_pieces=50).collect()
+    assert len({(r.doc_id, r.piece) for r in many}) == len(many) and max(r.offset + r.length for r in many) <= 4096
+    places = {}
+    for r in many:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(sum(l for _, l in sorted(p)[:i]) == o for p in places.values() for i, (o, _) in enumerate(sorted(p)))
     found = packing.best_fit(table(spark, rows), shard_tokens=20_000).collect()
+    assert len(found) == len(many)
     assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in found} == want
     sequences = {}
     for r in found:
@@ -273,6 +280,8 @@ def test_toxicity_held_out(spark):
     hits = [r.predicted for r in rows if r.toxic == 1]
     false = [r.predicted for r in rows if r.toxic == 0]
     assert sum(false) <= 0.05 * len(false) and sum(hits) >= 0.5 * len(hits)
+    plain, scaled = (toxicity.fit(docs, x) for x in (labels, labels.withColumn("toxic", F.col("toxic") * (1 + F.col("doc_id") % 3))))
+    assert plain["lexicon"] == scaled["lexicon"] and (plain["values"] == scaled["values"]).all(), "any positive label counts as 1"
     model = toxicity.fit(docs, labels.where("false"))
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "x" * 5000)], "doc_id long, text string")
     assert [(r.score, r.predicted) for r in toxicity.score(odd, model).collect()] == [(0.0, 0)] * 3
