@@ -123,6 +123,7 @@ def reach_sizes(edges: DataFrame, direction: str, depth: int | None = None, hot_
     arcs = (pairs.join(begin, "node").join(end, "next")
             .select("to", F.pmod(F.xxhash64("from"), F.col("slots")).cast("int").alias("slot"), "from", "from_slots")
             .repartition(tasks, "to", "slot").persist(StorageLevel.DISK_ONLY))
+    arcs.count()  # only a finished cache tells the joins how its rows are dealt
     bit = F.expr("shiftleft(1L, cast(id % 64 as int))")
     state, seen = cut(numbered.select(F.col("id").alias("at"), F.expr("id div 64").alias("word"), "slots",
                                       bit.alias("seen"), bit.alias("fresh")))
