@@ -52,3 +52,19 @@ def test_syntax_error_is_marked(model):
     row = model.files.where("file_path = 'broken.py'").first()
     assert (row.parse_status, row.symbol_count, row.line_count) == ("syntax_error", 0, 2)
     assert row.purpose.endswith("Stub / Init")
+
+
+def test_no_growing_side_is_broadcast(spark):
+    from srcgraph.operators import usage
+    bindings = spark.createDataFrame([("o.py", 1, "from", "m", 0, "f", "f"), ("p.py", 1, "import", "m", 0, None, "m")],
+                                     "file_path string, pos int, form string, module string, level int, name string, local string")
+    references = spark.createDataFrame([("o.py", "f", None, 3), ("o.py", "f", None, 4), ("p.py", "m", "f", 5), ("p.py", "m", "g", 6)],
+                                       "file_path string, base string, attr string, line int")
+    definitions = spark.createDataFrame([("m.py", "f")], "file_path string, name string")
+    files = spark.createDataFrame([("m.py",), ("o.py",), ("p.py",)], "file_path string")
+    used = usage.symbol_usages(bindings, references, definitions, files)
+    assert sorted(map(tuple, used.collect())) == [("m.py", "f", "o.py", 3), ("m.py", "f", "o.py", 4), ("m.py", "f", "p.py", 5)]
+    # all of these tables grow with the project; a hash table of one would be built by the driver
+    for frame in (used, usage.impact_rows(used), usage.symbol_counts(definitions, used), usage.usage_lines(used)):
+        frame.collect()
+        assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString()
