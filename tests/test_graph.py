@@ -107,3 +107,31 @@ def test_short_lists(spark):
     assert [(r.hop, list(r.nodes), r.more) for r in short] == [(1, ["n0", "n1", "n2"], 2)]
     names = spark.range(1).select(views.shortened(F.array(*[F.lit(f"d/{c}") for c in "abcdef"]), 4).alias("t")).first().t
     assert names == "a, b, c, d +2 more"
+
+
+def test_deep_graph_keeps_a_small_plan(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(12)], "src int, dst int")
+    for broadcast_rows in (100, 0):
+        found = graph.reach(chain, 0, ("downstream",), broadcast_rows=broadcast_rows)
+        assert sorted((r.node, r.hop) for r in found.collect()) == [(i, i) for i in range(1, 13)]
+        # one scan of all hops, not one per hop
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+
+
+def test_tasks_grow_with_rows(spark):
+    from srcgraph.session import TASK_ROWS, dealt
+    frame = spark.range(10).withColumnRenamed("id", "a")
+    assert dealt(frame, 40 * TASK_ROWS, "a").rdd.getNumPartitions() == 40
+    assert dealt(frame, 10, "a").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_sizes_leave_no_state_behind(spark):
+    import os
+    from srcgraph.session import shared_folder
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "src int, dst int")
+    place = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(place))
+    sizes = graph.impact_sizes(edges, 2, ("downstream",))
+    assert sorted((r.node, r.direct, r.indirect) for r in sizes.collect()) == [(1, 1, 1), (2, 1, 1), (3, 1, 0), (4, 0, 0)]
+    columns = [spark.read.parquet(f"{place}/{new}").columns for new in set(os.listdir(place)) - before if new.startswith("table-")]
+    assert not any("seen" in c for c in columns)

@@ -1,6 +1,7 @@
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -352,3 +353,38 @@ def test_what_blocks_hold():
         wanted = [rng.random() < .7 for _ in spans]
         found = called_in([c[0] for c in calls], [c[1] for c in calls], starts, ends, wanted)
         assert found == [sorted({name for line, name in calls if s <= line <= e}) if w else [] for (s, e), w in zip(spans, wanted)]
+
+
+def test_sources_shuffle_numbers_only(spark, tmp_path):
+    """Orders are put together once for all languages, before there is any text."""
+    from srcgraph.plans import derived
+    spark.createDataFrame([(1, 7, 3, 2, 5.0), (1, 8, 4, 1, 6.0), (2, 9, 5, 1, 7.0)],
+                          "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    files = derived.all_sources(spark, str(tmp_path))
+    plan = files._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    found = {r.file_path: r.text for r in files.collect()}
+    assert len(found) == 2 * len(derived.TEMPLATES)
+    assert found["src/o2.js"] == "import { a } from './m9';\nfunction fn_9_5(a) {\nif (a) {\nhelper_1(a);\nhelper_2(a);\n}\n}\n"
+
+
+def test_marked_lines_of_a_batch():
+    import pyarrow as pa
+    texts = ["", "a{\n\x03b}\n", "\x01f\x02(=>", ">;", "\n\x04BEGIN\n\x07\x05END;\n\n"]
+    marks = parse.Marks(pa.array(["x", *texts]).slice(1), np.array([False, False, False, False, True]))
+    assert marks.count.tolist() == [0, 2, 1, 1, 4]
+    assert marks.per_line(marks.of("{", False)).tolist() == [1, 0, 0, 0, 0, 0, 0, 0]
+    assert marks.per_line(marks.arrows()).tolist() == [0, 0, 1, 0, 0, 0, 0, 0]
+    assert marks.per_line(marks.of(";", True)).tolist() == [0, 0, 0, 0, 0, 0, 1, 0]
+    line, rank, names = marks.called()
+    assert (line.tolist(), rank.tolist(), names.to_pylist()) == ([2], [0], ["f"])
+
+
+def test_held_calls_both_ways():
+    rng = np.random.default_rng(1)
+    line, rank = np.sort(rng.integers(0, 5000, 3000)), rng.integers(0, 20, 3000)
+    first = rng.integers(0, 4000, 300)
+    for last in (first + 3, np.full(300, 5000)):  # few lines a block, and blocks that never close
+        held = parse.held_calls(line, rank, 20, first, last)
+        want = [b * 20 + r for b in range(300) for r in sorted(set(rank[(line >= first[b]) & (line <= last[b])].tolist()))]
+        assert held.tolist() == want
