@@ -99,3 +99,33 @@ def test_edge_usage_counts_naming_imports(spark):
     edges = spark.createDataFrame([("m.py", "lib/util.py"), ("m.py", "lib/other.py")], "src string, dst string")
     imports = spark.createDataFrame([("m.py", ["lib.util", "util", "numpy"])], "file_path string, imports array<string>")
     assert {r.dst: r.usage_count for r in resolve.edge_usage(edges, imports).collect()} == {"lib/util.py": 2, "lib/other.py": 1}
+
+
+def test_imports_are_evaluated_once(spark):
+    """Imports may come from a parse or joins; resolving them must not run these twice."""
+    runs = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def spelled(raw):
+        runs.add(1)
+        return raw
+
+    imports = spark.createDataFrame([("src/a.py", i, "./b") for i in range(40)], "file_path string, pos int, raw string")
+    files = spark.createDataFrame([("src/a.py", 1), ("src/b.py", 2)], "file_path string, file_ord int")
+    found = resolve.resolve_imports(imports.withColumn("raw", spelled.asNondeterministic()("raw")), files).collect()
+    assert sorted((r.pos, r.target) for r in found) == [(i, "src/b.py") for i in range(40)]
+    assert runs.value == 40
+
+
+def test_lookups_of_null_paths_and_odd_texts(spark):
+    rows = [(None, 0, "./b"), (None, 1, "pkg.mod"), ("a.py", 2, None), ("a.py", 3, ".."), ("a.py", 4, "."), ("x/y/a.py", 5, "../\\b"), ("a.py", 6, "..x.")]
+    found = resolve.import_lookups(spark.createDataFrame(rows, "file_path string, pos int, raw string")).collect()
+    assert sorted((r.pos, r["rank"], r.kind, r.key) for r in found) == [
+        (1, 0, "path", "pkg/mod"), (1, 1, "path", "pkg"), (1, 2, "name", "pkg.mod"), (3, 2, "name", ".."), (4, 2, "name", "."),
+        (5, 0, "path", "x//b"), (6, 0, "path", "x"), (6, 2, "name", "..x.")]
+
+
+def test_folders_of_paths(spark):
+    cases = {"a/b/c.py": "a/b", "c.py": "", "": "", "a/": "a", "a//": "a/", "/a": "", "é/ü/x": "é/ü", "a/b\n": "a", "/": ""}
+    frame = spark.createDataFrame([(p,) for p in cases], "p string").select("p", paths.dirname(F.col("p")).alias("d"))
+    assert {r.p: r.d for r in frame.collect()} == cases
