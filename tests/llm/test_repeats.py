@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from cases import awkward, removed, table, words
 
-from srcgraph.llm import phrases, suffixes
+from srcgraph.llm import phrases, repeats, suffixes
 from srcgraph.llm.repeats import Hasher
 from srcgraph.llm.words import TABLE, Texts, hashes_of, slices
 
@@ -104,3 +104,29 @@ def test_slices_cover_all_texts():
         assert isinstance(part, Texts) and b - a == part.n <= 4
         seen += [part.data[part.bounds[i]:part.bounds[i + 1]].tobytes().decode() for i in range(part.n)]
     assert seen == [t or "" for t in texts]
+
+
+def test_owners_settle_a_bounded_number_of_entries(spark, monkeypatch):
+    """Shares of few entries give the same rows, and entries of one hash stay in one share."""
+    h = np.array([5, 9, 5, -3, 9, 7, -3, 5] * 10)
+    picks = list(repeats.shares(h, 20))
+    assert len(picks) > 1 and sorted(np.concatenate(picks).tolist()) == list(range(80))
+    assert sum(len(set(h[p].tolist())) for p in picks) == 4
+    monkeypatch.setattr(repeats, "SHARE", 5)
+    rows = awkward(6)
+    want = removed(rows, lambda t: (t or "").encode(), 50, bytes)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.digest(suffixes.removed(table(spark, rows))).collect()}
+    assert got == want
+    want = removed(rows, words, 13, b" ".join)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in phrases.digest(phrases.removed(table(spark, rows))).collect()}
+    assert got == {i: (n, m, h) for i, (n, m, _, h) in want.items()}
+
+
+@pytest.mark.parametrize("top", [0, 1, 255, 256, 65_536, (1 << 24) - 1, 1 << 24, (1 << 40) - 1, (1 << 63) + 5, (1 << 64) - 1])
+def test_numbers_travel_in_as_few_bytes_as_the_largest_needs(top):
+    values = np.array([top, 0, top // 3, top], np.uint64)
+    data = repeats.packed(values)
+    assert len(data) == 1 + 4 * max(1, (top.bit_length() + 7) // 8)
+    assert (repeats.unpacked(data, np.uint64) == values).all()
+    assert (repeats.unpacked(repeats.packed(values.view(np.int64).view(np.uint64))) == values.view(np.int64)).all()
+    assert not len(repeats.unpacked(repeats.packed(np.empty(0, np.uint64))))
