@@ -62,8 +62,12 @@ def imports(pattern, inner=None, separator=None, skip=(), drop=None):
 
 
 def words(text: str, flags: str = "(?U)") -> str:
-    """Whole-word alternation; '+' inside a word stands for whitespace."""
-    return flags + r"\b(?:" + "|".join(w.replace("+", r"\s+") for w in text.split()) + r")\b"
+    """Whole-word alternation; '+' inside a word stands for whitespace.
+
+    The first letters are looked at before anything else, since most places have another one.
+    """
+    first = "".join(sorted({w[0] for w in text.split()}))
+    return flags + rf"(?=[{first}])\b(?:" + "|".join(w.replace("+", r"\s+") for w in text.split()) + r")\b"
 
 
 @dataclass(frozen=True)
@@ -89,8 +93,9 @@ class Language:
 
     @property
     def call(self) -> str:
-        excluded = "|".join(self.call_exclude.split())
-        guard = f"(?!(?{self.call_flags}:{excluded})(?![{self.name_chars}]))" if excluded else ""
+        # a name that no parenthesis follows is not compared with the excluded ones
+        excluded, followed = "|".join(self.call_exclude.split()), rf"(?=[{self.name_chars}]++\s*+\()"
+        guard = f"{followed}(?!(?{self.call_flags}:{excluded})(?![{self.name_chars}]))" if excluded else ""
         if "." in self.name_chars:  # one attempt per run of name characters
             return rf"(?U)(?<![{self.name_chars}])\.*+{guard}([{self.name_chars}]++)(?=\s*+\()"
         return rf"(?U)\b{guard}([{self.name_chars}]++)(?=\s*+\()"
@@ -313,7 +318,7 @@ BUILTIN_LANGUAGES = [
                      "INDEX PRIMARY FOREIGN KEY JOIN INNER OUTER LEFT RIGHT ON GROUP BY ORDER "
                      "HAVING LIMIT MAX MIN SUM AVG COUNT COALESCE CAST CONVERT",
         call_flags="i",
-        opener=r"(?iU)\bBEGIN\b", closer=r"(?iU)\bEND\b", nest_closer=r"(?iU)\b(?:END|COMMIT)\b",
+        opener=words("BEGIN", "(?iU)"), closer=words("END", "(?iU)"), nest_closer=words("END COMMIT", "(?iU)"),
         name_junk=r'[`"\[\]]', block_mode="statement"),
     Language("html", "HTML", ["html", "htm"], "html",
              "node_modules dist build coverage venv"),

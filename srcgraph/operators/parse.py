@@ -139,10 +139,13 @@ def import_strings(text: Column, rules: list[dict]) -> Column:
 def guarded(text: Column, mark: Mark) -> Column:
     """The text with the marks of ``mark``: pieces between closers know whether their own closer is a good one."""
     closer = f"\\Q{mark.closer}\\E"
-    pieces = F.split(F.regexp_replace(text, F.lit(f"{FLAGS}{closer}(?={mark.follow})"), F.lit(mark.closer + GOOD)), closer)
+    good = f"{FLAGS}{closer}(?={mark.follow})"
+    pieces = F.split(F.regexp_replace(text, F.lit(good), F.lit(mark.closer + GOOD)), closer)
     after = F.concat(F.slice(pieces, F.lit(2), F.size(pieces)), F.array(F.lit("")))
-    return F.array_join(F.zip_with(pieces, after, lambda piece, next_piece: F.when(
+    joined = F.array_join(F.zip_with(pieces, after, lambda piece, next_piece: F.when(
         next_piece.startswith(GOOD), F.regexp_replace(piece, F.lit(FLAGS + mark.opener), F.lit("$0" + GOOD))).otherwise(piece)), mark.closer)
+    # a text without a good closer has no marks and need not be cut up
+    return F.when(F.rlike(text, F.lit(good)), joined).otherwise(text)
 
 
 def marked_by_rule(text: Column, language: Language) -> Column:

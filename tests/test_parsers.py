@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from srcgraph.functions.languages import AdapterRegistry, BUILTIN_LANGUAGES, Language, rule
+from srcgraph.functions import trees
+from srcgraph.functions.languages import AdapterRegistry, BUILTIN_LANGUAGES, Language, rule, words
 from srcgraph.functions.trees import block_layout, called_in, deepest, parse_css, parse_html, parse_python
 from srcgraph.operators import parse
 
@@ -388,3 +389,28 @@ def test_held_calls_both_ways():
         held = parse.held_calls(line, rank, 20, first, last)
         want = [b * 20 + r for b in range(300) for r in sorted(set(rank[(line >= first[b]) & (line <= last[b])].tolist()))]
         assert held.tolist() == want
+
+
+def test_words_look_at_first_letters(spark):
+    """The words found are those of the plain alternation, but most places are left after one letter."""
+    texts = ["if iffy else if ELSE  If x.if(for) \u0130f \u017fwitch caſe switch9 _for", "for for\n\tfor", "", "fo r elseif else\tif"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    for flags in ("(?U)", "(?iU)"):
+        pattern = words("if else+if for switch case", flags)
+        assert pattern.startswith(flags + "(?=[")
+        plain = flags + r"\b(?:if|else\s+if|for|switch|case)\b"
+        for r in frame.select(F.regexp_replace("t", F.lit(pattern), F.lit("<$0>")).alias("a"), F.regexp_replace("t", F.lit(plain), F.lit("<$0>")).alias("b")).collect():
+            assert r.a == r.b
+
+
+@pytest.mark.parametrize("adapter", ["javascript", "sql", "r"])
+def test_names_without_parenthesis_are_not_compared(spark, adapter):
+    language = AdapterRegistry().get(adapter)
+    assert language.call.index(r"\s*+\(") < language.call.index("(?!")
+    frame = spark.createDataFrame([("if (a) foo (b) a.b(c) new x; Iffy(1) ..q(2) SELECT(3) list.of  (4) plain",)], "t string")
+    excluded = "|".join(language.call_exclude.split())
+    chars = language.name_chars
+    start = rf"(?<![{chars}])\.*+" if "." in chars else r"\b"
+    plain = rf"(?U){start}(?!(?{language.call_flags}:{excluded})(?![{chars}]))([{chars}]++)(?=\s*+\()"
+    row = frame.select(F.regexp_extract_all("t", F.lit(language.call), 1).alias("a"), F.regexp_extract_all("t", F.lit(plain), 1).alias("b")).first()
+    assert row.a == row.b and row.a
