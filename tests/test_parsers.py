@@ -414,3 +414,20 @@ def test_names_without_parenthesis_are_not_compared(spark, adapter):
     plain = rf"(?U){start}(?!(?{language.call_flags}:{excluded})(?![{chars}]))([{chars}]++)(?=\s*+\()"
     row = frame.select(F.regexp_extract_all("t", F.lit(language.call), 1).alias("a"), F.regexp_extract_all("t", F.lit(plain), 1).alias("b")).first()
     assert row.a == row.b and row.a
+
+
+def test_python_nodes_are_visited_once(monkeypatch):
+    """A class and its methods are measured in one sweep over flat lists."""
+    seen = []
+    walk = trees.tree_nodes
+    monkeypatch.setattr(trees, "tree_nodes", lambda tree: seen.append(1) or walk(tree))
+    monkeypatch.setattr(trees.ast, "iter_child_nodes", None)
+    text = ("import os\nclass A(base()):\n    @deco(f())\n    def m(self, x=g()):\n        for i in os.walk(x):\n            if i:\n                h(k(i))\n"
+            "        def inner():\n            with i:\n                os.close()\n    x = z()\n    if x:\n        def late(self): w()\n"
+            "async def top():\n    try:\n        a.b.c()\n    except E:\n        match q:\n            case 1: r()\n")
+    out = trees.parse_python(text)
+    assert seen == [1] and out["status"] == "ok"
+    assert [(s["name"], s["kind"], s["nesting_depth"], s["branch_count"], s["calls"], s["top_ord"], s["sub_ord"]) for s in out["symbols"]] == [
+        ("A", "class", 2, 4, [], 0, 0), ("m", "method", 2, 3, ["close", "deco", "f", "g", "h", "k", "walk"], 0, 1),
+        ("top", "function", 3, 3, ["c", "r"], 1, 0)]
+    assert out["imports"] == ["os"] and [(r["attr"], r["line"]) for r in out["references"] if r["attr"]] == [("walk", 5), ("close", 10)]
