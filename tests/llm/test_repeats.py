@@ -130,3 +130,30 @@ def test_numbers_travel_in_as_few_bytes_as_the_largest_needs(top):
     assert (repeats.unpacked(data, np.uint64) == values).all()
     assert (repeats.unpacked(repeats.packed(values.view(np.int64).view(np.uint64))) == values.view(np.int64)).all()
     assert not len(repeats.unpacked(repeats.packed(np.empty(0, np.uint64))))
+
+
+def test_suffix_ranks_take_few_sorts(monkeypatch):
+    """The first key holds as many symbols as fit, so the order needs fewer rounds and is the plain one."""
+    rng, rounds, plain_ranks = np.random.default_rng(3), [], suffixes.ranks
+    monkeypatch.setattr(suffixes, "ranks", lambda keys: rounds.append(1) or plain_ranks(keys))
+    for top, n, most in ((2, 300, 2), (258, 300, 2), (100_000, 50, 5)):
+        rounds.clear()
+        size = np.array([n // 3, n // 3, n - 2 * (n // 3)])
+        symbols = np.tile(rng.integers(0, top, n // 3), 4)[:n].astype(np.int64)
+        stop = np.repeat(np.cumsum(size), size)
+        found = suffixes.suffix_ranks(symbols, stop, n + 1)
+        order = {s: i for i, s in enumerate(sorted({tuple(symbols[i:stop[i]]) for i in range(n)}), 1)}
+        assert found.tolist() == [order[tuple(symbols[i:stop[i]])] for i in range(n)]
+        assert len(rounds) <= most
+
+
+@pytest.mark.parametrize("size", [1, 7, 8, 13, 50])
+def test_bytes_are_compared_in_words(size):
+    rng = np.random.default_rng(size)
+    data = rng.integers(0, 2, 400).astype(np.uint8)
+    data[200:] = data[:200]
+    data[260] ^= 1
+    one = np.concatenate([np.arange(0, 150), rng.integers(0, 350, 200)])
+    other = np.concatenate([np.arange(200, 350), rng.integers(0, 350, 200)])
+    plain = [bytes(data[a:a + size]) == bytes(data[b:b + size]) for a, b in zip(one, other)]
+    assert suffixes.agree(data, one, other, size).tolist() == plain and any(plain) and not all(plain)
