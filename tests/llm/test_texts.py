@@ -332,7 +332,7 @@ def test_stored_gzip_bytes_are_no_record(spark, tmp_path):
 # --- all queries on empty tables -------------------------------------------------------
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_tables(spark, tmp_path, name):
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "embeddings", "conversations"):
         read(spark, "/root/testdata/sf0.001", t).where("false").write.parquet(str(tmp_path / f"{t}.parquet"))
     assert QUERIES[name](spark, str(tmp_path)).count() == 0
 
