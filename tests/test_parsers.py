@@ -431,3 +431,13 @@ def test_python_nodes_are_visited_once(monkeypatch):
         ("A", "class", 2, 4, [], 0, 0), ("m", "method", 2, 3, ["close", "deco", "f", "g", "h", "k", "walk"], 0, 1),
         ("top", "function", 3, 3, ["c", "r"], 1, 0)]
     assert out["imports"] == ["os"] and [(r["attr"], r["line"]) for r in out["references"] if r["attr"]] == [("walk", 5), ("close", 10)]
+
+
+def test_python_tables_come_from_one_walk():
+    """Symbols, imports, bindings and references are told in the same pass over the nodes."""
+    tree = trees.ast.parse("import os as o\nfrom .a import b\nclass C(b.D):\n    def m(self):\n        with o:\n            return o.path(b, 1)\n")
+    found = trees.tree_nodes(tree)
+    assert [(s["name"], s["nesting_depth"], s["branch_count"], s["calls"]) for s in found["symbols"]] == [("C", 1, 1, []), ("m", 1, 1, ["path"])]
+    assert found["imports"] == ["os", "./a"] and [b["local"] for b in found["bindings"]] == ["o", "b"]
+    assert [(r["base"], r["attr"], r["line"]) for r in found["references"]] == [
+        ("b", "D", 3), ("b", None, 3), ("o", None, 5), ("o", "path", 6), ("b", None, 6), ("o", None, 6)]
