@@ -135,3 +135,17 @@ def test_sizes_leave_no_state_behind(spark):
     assert sorted((r.node, r.direct, r.indirect) for r in sizes.collect()) == [(1, 1, 1), (2, 1, 1), (3, 1, 0), (4, 0, 0)]
     columns = [spark.read.parquet(f"{place}/{new}").columns for new in set(os.listdir(place)) - before if new.startswith("table-")]
     assert not any("seen" in c for c in columns)
+
+
+def test_impact_sizes_in_slices(spark, monkeypatch):
+    """Counts summed over slices of the reached nodes are those of one pass, and no pass writes the state of all."""
+    rng = random.Random(4)
+    frame = spark.createDataFrame([(rng.randint(0, 299), rng.randint(0, 299)) for _ in range(700)], "src int, dst int")
+    rows = lambda found: sorted(map(tuple, found.collect()))
+    whole = rows(graph.impact_sizes(frame, 2))
+    written, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda part, *metrics, **options: written.append((part.columns, cut(part, *metrics, **options))) or written[-1][1])
+    assert rows(graph.impact_sizes(frame, 2, slice_rows=600)) == whole
+    first = [seen["n"] for columns, (_, seen) in written if columns[:2] == ["at", "word"]]
+    assert len(first) > 4 and max(first) < sum(first) / 4
+    assert [graph.slices_of(*case, 100) for case in ((0, 0, 3), (10, 40, 2), (1000, 10_000, None), (1000, 1000, 5), (1000, 2000, 3))] == [1, 1, 16, 10, 16]
